@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlake.llm.exact_dedup import exact_duplicates, normalised
 from graphlake.llm.jaccard_join import near_duplicates
+from graphlake.llm.packing import pack_documents
 from graphlake.llm.sharding import assign_shards
 from graphlake.llm.url_filter import filter_urls
 
@@ -24,6 +25,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +68,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_jaccard_join, op7_url_filters, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op7_url_filters, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
