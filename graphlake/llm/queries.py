@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlake.llm.decontaminate import find_contamination, words_hit
 from graphlake.llm.exact_dedup import exact_duplicates, normalised
 from graphlake.llm.jaccard_join import near_duplicates
 from graphlake.llm.packing import pack_documents
@@ -35,6 +36,34 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = words_hit(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+OP4_SQL = """
+WITH b AS (SELECT item_id, regexp_extract_all(lower_az, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM
+  (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM benchmark WHERE text IS NOT NULL)),
+iw AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS win FROM b, unnest(generate_series(1, greatest(1, len(w) - 9))) AS t(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(win) AS n FROM iw),
+d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+dw AS (SELECT uid, i, n, list_slice(w, i, i + n - 1) AS win FROM d, lens, unnest(generate_series(1, len(w) - n + 1)) AS t(i) WHERE len(w) >= n),
+hits AS (SELECT uid, i, n, item_id FROM dw JOIN iw USING (win)),
+words AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT uid, i, n FROM hits), unnest(generate_series(i, i + n - 1)) AS t(p) GROUP BY uid),
+its AS (SELECT uid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT uid, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY uid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (uid) LEFT JOIN its USING (uid)
+"""
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules).drop("url")
@@ -68,8 +97,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op7_url_filters, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op4_decontamination, op7_url_filters, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_decontamination": OP4_SQL, "op7_url_filters": OP7_SQL, "op8_exact_dedup": OP8_SQL}
