@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from graphlake.llm.decontaminate import find_contamination, words_hit
 from graphlake.llm.exact_dedup import exact_duplicates, normalised
 from graphlake.llm.jaccard_join import near_duplicates
+from graphlake.llm.language_id import fit_languages, identify_languages
 from graphlake.llm.packing import pack_documents
+from graphlake.llm.quality import fit_quality, score_quality
 from graphlake.llm.sharding import assign_shards
 from graphlake.llm.url_filter import filter_urls
 
@@ -64,6 +66,11 @@ FROM d LEFT JOIN words USING (uid) LEFT JOIN its USING (uid)
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs, fit_languages(docs))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules).drop("url")
@@ -82,6 +89,11 @@ GROUP BY uid, page_id, host, path
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     return exact_duplicates(_table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
@@ -97,7 +109,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op4_decontamination, op7_url_filters, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op4_decontamination, op5_language_id, op7_url_filters, op8_exact_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
