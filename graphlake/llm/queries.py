@@ -11,10 +11,12 @@ from graphlake.llm.decontaminate import find_contamination, words_hit
 from graphlake.llm.exact_dedup import exact_duplicates, normalised
 from graphlake.llm.jaccard_join import near_duplicates
 from graphlake.llm.language_id import fit_languages, identify_languages
+from graphlake.llm.line_dedup import drop_boilerplate
 from graphlake.llm.packing import pack_documents
 from graphlake.llm.quality import fit_quality, score_quality
 from graphlake.llm.sharding import assign_shards
 from graphlake.llm.url_filter import filter_urls
+from graphlake.llm.warc import archive_pages
 
 #: The rules of the query: host, path, verdict (fixed values).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -71,6 +73,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, fit_languages(docs))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their source as the site."""
+    out = drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "site", "n_lines", "n_dropped", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source AS site, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT uid, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+seen AS (SELECT site, trim(line) AS line, count(DISTINCT uid) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+totals AS (SELECT site, count(*) AS pages FROM d GROUP BY ALL),
+marks AS (SELECT s.site, s.line FROM seen s JOIN totals t ON s.site IS NOT DISTINCT FROM t.site WHERE n >= 3 AND n * 100 > pages * 5),
+judged AS (SELECT uid, i, l.line, m.line IS NOT NULL AS dropped FROM l LEFT JOIN marks m ON l.site IS NOT DISTINCT FROM m.site AND trim(l.line) = m.line),
+clean AS (SELECT uid, count(*) FILTER (dropped) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS clean FROM judged GROUP BY uid)
+SELECT doc_id, site, coalesce(len(ls), 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(clean) AS clean_chars, sha256(clean) AS clean_sha256
+FROM d LEFT JOIN clean USING (uid)
+"""
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules).drop("url")
@@ -89,6 +110,10 @@ GROUP BY uid, page_id, host, path
 """
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -109,8 +134,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op4_decontamination, op5_language_id, op7_url_filters, op8_exact_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_jaccard_join, op4_decontamination, op5_language_id, op6_line_dedup, op7_url_filters, op8_exact_dedup, op9_warc, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op7_url_filters": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_url_filters": OP7_SQL, "op8_exact_dedup": OP8_SQL}
