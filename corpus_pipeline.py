@@ -5,28 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphlake.llm._scratch import materialize
+from graphlake.llm.decontaminate import find_contamination
 from graphlake.llm.exact_dedup import exact_duplicates
 from graphlake.llm.jaccard_join import near_duplicates
+from graphlake.llm.language_id import fit_languages, identify_languages
+from graphlake.llm.packing import pack_documents
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids``."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*DOCUMENTS)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``, which are the few; rows without an id, which can't be named,
+    stay. Texts don't move while the ids are small enough to be broadcast by the session's own threshold."""
+    return docs.join(ids.select("doc_id").where("doc_id is not null"), "doc_id", "left_anti").select(*DOCUMENTS)
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID doesn't reject."""
+    found = identify_languages(docs, fit_languages(docs))
+    return _without(docs, materialize(found.where("rejected").select("doc_id"), "rejected"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_duplicates(docs).where("kept"))
+    """One document of each group of equal texts."""
+    return _without(docs, materialize(exact_duplicates(docs).where("not kept").select("doc_id"), "copies"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_duplicates(docs).where("doc_id = component_id"))
+    """One document of each component of near-duplicates: that of the smallest id."""
+    return _without(docs, materialize(near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "near-copies"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside any window of a benchmark item."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, materialize(found.where("size(spans) > 0").select("doc_id"), "contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in windows of at most 4096 ids."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("n-gram jaccard join", drop_near_copies)]
+STAGES = [
+    ("language ID", known_languages),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-#: Learned languages and tokenizer pieces have no SQL; the tests hold the stages against brute force.
+#: A learned language model and a tokenizer's ids have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
