@@ -56,6 +56,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     best = F.min(F.struct(-F.col("__points"), F.col("__id").isNull(), F.col("__id").alias("id")))
     groups = hashed.where("__full is not null").groupBy(F.col("__full").alias("__of")).agg(best["id"].alias("__keep"), F.count("*").alias("__size"))
-    out = hashed.join(groups.where("__size > 1"), F.col("__full") == F.col("__of"), "left")
-    keep = F.when(F.col("__of").isNull(), F.col("__id")).otherwise(F.col("__keep"))
-    return out.select(F.col("__id").alias(id_col), keep.alias("keep_id"), F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("__id")).alias("kept"), *carry)
+    # rows without a hash stand alone; in the join their nulls would meet in one task
+    alone = hashed.where("__full is null").select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *carry)
+    out = hashed.where("__full is not null").join(groups, F.col("__full") == F.col("__of"))
+    kept = F.col("__keep").eqNullSafe(F.col("__id"))
+    return alone.unionAll(out.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), kept.alias("kept"), *carry))
