@@ -101,10 +101,11 @@ class Schema:
     A table with exactly two owning one-relations to two different tables, whose other columns may be left
     out, is a junction: both ends get a many-relation named after the other end's table, unless they declare
     a relation of that name. Two junctions of one pair make the name ambiguous. ``many_to_many``: explicit
-    junctions, as {"through": table, "left": {"relation": name, "name": alias}, "right": {...}}.
+    junctions, as {"through": table, "left": {"relation": name, "name": alias}, "right": {...}}, which settle
+    ambiguous names or add others; an alias is the end's own name for the relation.
     """
 
-    def __init__(self, tables: dict[str, Table], relations: dict[str, dict[str, dict]] | None = None, many_to_many: list[dict] | None = None):
+    def __init__(self, tables: dict[str, Table], relations: dict[str, dict[str, dict]] | None = None, many_to_many: list[dict] | None = None, *, infer_many_to_many: bool = True):
         self.tables = tables
         for name, t in tables.items():
             t.name = name
@@ -117,14 +118,12 @@ class Schema:
                         if c not in self.table(side).columns:
                             raise fail(f"Relation {owner}.{rel} names an unknown column {side}.{c}")
                 tables[owner].relations[rel] = Relation(rel, **spec)
-        declared = {(t.name, r) for t in tables.values() for r in t.relations}
-        explicit = set()
+        for t in tables.values() if infer_many_to_many else ():
+            ends = self._junction(t)
+            if ends:
+                self._expose(t, *ends)
         for spec in many_to_many or []:
-            explicit.add(spec["through"])
             self._add_explicit(spec)
-        for t in tables.values():
-            if t.name not in explicit:
-                self._infer(t, declared)
 
     def table(self, name: str) -> Table:
         if name in self.tables:
@@ -136,39 +135,37 @@ class Schema:
 
     def _add_explicit(self, spec: dict) -> None:
         through = self.table(spec["through"])
-        ends = []
-        for side in ("left", "right"):
-            rel = through.relations.get(spec[side]["relation"])
-            if rel is None or rel.kind != "one" or not rel.owning:
-                raise fail(f'many_to_many: "{spec[side]["relation"]}" is no owning one-relation of {through.name}')
-            ends.append((rel, spec[side].get("name")))
-        for (near, _), (far, name) in (ends, ends[::-1]):
-            self._link(through, near, far, name or far.target)
-
-    def _infer(self, t: Table, declared: set[tuple[str, str]]) -> None:
-        ends = [r for r in t.relations.values() if r.kind == "one" and r.owning]
-        if len(ends) != 2 or ends[0].target == ends[1].target:
-            return
+        ends = [through.relations.get(spec[side]["relation"]) for side in ("left", "right")]
+        if any(r is None or r.kind != "one" or not r.owning for r in ends) or not self._junction(through, ends):
+            raise fail(f'many_to_many through "{through.name}": it must have two owning one-relations to two tables and no other required column')
+        self._expose(through, *ends, spec["left"].get("name"), spec["right"].get("name"))
+
+    @staticmethod
+    def _junction(t: Table, ends: list[Relation] | None = None) -> list[Relation] | None:
+        """The two relations that make a table a junction."""
+        if ends is None:
+            ends = [r for r in t.relations.values() if r.kind == "one" and r.owning]
         linked = {c for r in ends for c in r.fields}
-        if any(not (c.nullable or c.has_default) for k, c in t.columns.items() if k not in linked):
-            return
-        for near, far in ((ends[0], ends[1]), (ends[1], ends[0])):
-            owner = self.tables[near.target]
-            if (owner.name, far.target) in declared:
+        if len(ends) != 2 or ends[0].target == ends[1].target or any(not (c.nullable or c.has_default) for k, c in t.columns.items() if k not in linked):
+            return None
+        return ends
+
+    def _expose(self, through: Table, left: Relation, right: Relation, left_name: str | None = None, right_name: str | None = None) -> None:
+        """Give either end a relation to the other, under its own name for it or the other's table key."""
+        for near, far, name in ((left, right, left_name), (right, left, right_name)):
+            owner, name = self.tables[near.target], name or far.target
+            held = owner.relations.get(name)
+            if held and not held.through:
                 continue
-            held = owner.relations.get(far.target)
-            if far.target in owner.ambiguous:
-                owner.ambiguous[far.target].append(t.name)
-            elif held and held.through:
-                owner.ambiguous[far.target] = [held.through, t.name]
-                del owner.relations[far.target]
-            elif not held:
-                self._link(t, near, far, far.target)
-
-    def _link(self, through: Table, near: Relation, far: Relation, name: str) -> None:
-        self.tables[near.target].relations[name] = Relation(
-            name, far.target, "many", near.references, far.references, through=through.name, through_fields=near.fields, through_references=far.fields
-        )
+            if held and held.through != through.name:
+                owner.ambiguous[name] = [*owner.ambiguous.get(name, [held.through]), through.name]
+                del owner.relations[name]
+                continue
+            if name in owner.ambiguous and left_name is None and right_name is None and through.name not in owner.ambiguous[name] and not held:
+                owner.ambiguous[name].append(through.name)
+                continue
+            owner.ambiguous.pop(name, None)
+            owner.relations[name] = Relation(name, far.target, "many", near.references, far.references, through=through.name, through_fields=near.fields, through_references=far.fields)
 
     def relation(self, table: Table, name: str) -> Relation:
         if name in table.ambiguous:

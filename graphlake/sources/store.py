@@ -2,8 +2,8 @@
 
 Spark can't change plain tables in place, so a version is a plan over the one before it. After ``cut_after``
 versions a table's lineage is cut by writing it to the shared folder. With a ``path``, commits write the changed tables
-as parquet and then replace one small pointer file, which readers open first: a reader sees all of a commit
-or nothing of it, and a job that dies leaves the old pointer.
+as parquet and then rename one small file to the next commit's number, which fails if another process was
+faster. Readers open the last commit: they see all of it or nothing, and a job that dies leaves the one before.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphlake.schema import Schema, Table
 
-POINTER = "_current.json"
+COMMITS = "commits"
 
 
 class ConcurrentWrite(Exception):
@@ -35,7 +35,9 @@ class TableStore:
         self.lock = threading.Lock()
         self.frames: dict[str, DataFrame] = {}
         self.versions: dict[str, int] = {}
-        pointer = self._read_pointer()
+        self.commit_number, pointer = 0, {}
+        if self.path:
+            pointer = self._read_commit()
         for name, table in schema.tables.items():
             if name in pointer:
                 df = spark.read.schema(table.schema).parquet(pointer[name])
@@ -59,7 +61,7 @@ class TableStore:
                 if self.versions.get(n, 0) != base.get(n, 0):
                     raise ConcurrentWrite(n)
             if self.path:
-                self._write_pointer(self.files | {n: p for n, (_, p) in new.items()})
+                self._write_commit(self.files | {n: p for n, (_, p) in new.items()})
             for n, (df, p) in new.items():
                 self.frames[n] = df
                 self.versions[n] = self.versions.get(n, 0) + 1
@@ -78,28 +80,32 @@ class TableStore:
         df.write.parquet(path)
         return self.spark.read.schema(self.schema.tables[name].schema).parquet(path), path
 
-    # the pointer file, through Hadoop's file systems
+    # the commits' files, through Hadoop's file systems
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _read_pointer(self) -> dict[str, str]:
-        if not self.path:
-            return {}
-        fs, p = self._fs(f"{self.path}/{POINTER}")
-        if not fs.exists(p):
+    def _read_commit(self) -> dict[str, str]:
+        """The paths of the last commit's tables."""
+        fs, folder = self._fs(f"{self.path}/{COMMITS}")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = sorted(n for n in names if n.endswith(".json"))
+        if not names:
             return {}
-        return json.loads(self.spark.read.text(f"{self.path}/{POINTER}", wholetext=True).first()[0])
+        self.commit_number = int(names[-1].removesuffix(".json"))
+        return json.loads(self.spark.read.text(f"{self.path}/{COMMITS}/{names[-1]}", wholetext=True).first()[0])
 
-    def _write_pointer(self, files: dict[str, str]) -> None:
-        fs, new = self._fs(f"{self.path}/{POINTER}.{uuid.uuid4().hex}")
+    def _write_commit(self, files: dict[str, str]) -> None:
+        fs, new = self._fs(f"{self.path}/{COMMITS}/.{uuid.uuid4().hex}")
         out = fs.create(new)
         out.write(bytearray(json.dumps(files, sort_keys=True).encode()))
         out.close()
-        _, old = self._fs(f"{self.path}/{POINTER}")
-        fs.delete(old, False)
-        fs.rename(new, old)
+        _, target = self._fs(f"{self.path}/{COMMITS}/{self.commit_number + 1:012d}.json")
+        if fs.exists(target) or not fs.rename(new, target):
+            fs.delete(new, False)
+            raise ConcurrentWrite(f"{self.path} (by another process)")
+        self.commit_number += 1
 
 
 class Snapshot:
