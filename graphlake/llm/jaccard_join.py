@@ -29,7 +29,7 @@ from graphlake.llm._text import mix64, shingle_sets, sorted_distinct, string_sli
 from graphlake.llm.components import connected_components
 
 #: Tokens that a task counts before it passes its repeated ones on.
-SUMMARY_TOKENS = 4_000_000
+SUMMARY_TOKENS = 2_000_000
 #: The most ids or tokens that are broadcast; beyond it, joins shuffle and the frequency bound rises.
 BROADCAST_ROWS = 2_000_000
 
@@ -189,9 +189,9 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
-def _sets(k: int):
-    """text -> (node, n, sketch, tokens), once for equal sets in a task."""
-    names = ["node", "n", "sketch", "tokens"]
+def _sets(k: int, whole: bool):
+    """text -> (node, n, sketch) or, if ``whole``, (node, tokens); once for equal sets in a task."""
+    fields = [("node", pa.int64()), ("tokens", pa.binary())] if whole else [("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())]
 
     def run(batches):
         seen: set[int] = set()
@@ -201,11 +201,11 @@ def _sets(k: int):
                 for tokens in shingle_sets(data, offsets, k):
                     if (node := set_node(tokens)) not in seen:
                         seen.add(node)
-                        rows.append((node, len(tokens), _sketch(tokens), tokens.tobytes()))
-                cols = zip(*rows) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=names)
+                        rows.append((node, tokens.tobytes()) if whole else (node, len(tokens), _sketch(tokens)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f for f, _ in fields])
 
-    return run, "node long, n int, sketch binary, tokens binary"
+    return run, "node long, tokens binary" if whole else "node long, n int, sketch binary"
 
 
 def _bytes_matrix(col: pa.Array) -> np.ndarray:
@@ -311,17 +311,21 @@ def frequent_tokens(profile: DataFrame, frequent: int, very_frequent: int) -> tu
     return tokens[order], np.where(n[order] >= very_frequent, 3, 2).astype(np.int8)
 
 
-def _fetch_sets(lists: DataFrame, ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(node, n, sketch, tokens) of the nodes in lists; only their texts are read again."""
-    reps = ids.where("n > 0").groupBy("node").agg(F.min("h").alias("h"))
-    wanted = materialize(lists.select("node").distinct().join(reps, "node").select("h"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
-    texts = texts.join(F.broadcast(wanted) if small else wanted, "h", "left_semi")
-    run, schema = _sets(k)
-    sets = texts.select("text").mapInArrow(run, schema)
-    sets = materialize(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens")), "sets")
+def _fetch_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """The sets of the nodes, or their sketches: one text a node is read again, and none is shuffled while the
+    texts' hashes are few enough to be broadcast."""
+    wanted = materialize(nodes.join(reps, "node").select("rep.h", "rep.id").toDF("wh", "wid"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select("id", "text", F.xxhash64("text").alias("h")).where("text is not null")
+    texts = texts.join(F.broadcast(wanted) if few else wanted, (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid")), "left_semi")
+    run, schema = _sets(k, whole)
+    sets = materialize(texts.select("text").mapInArrow(run, schema), "sets")
     release(wanted)
+    total, distinct = sets.agg(F.count("*"), F.countDistinct("node")).first()
+    if total > distinct:  # repeated rows of one id that different tasks have read
+        once = materialize(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in sets.columns if c != "node")), "sets")
+        release(sets)
+        return once
     return sets
 
 
@@ -331,10 +335,14 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
     return pairs.join(of["b"], "b").join(of["a"], "a").select("a", "b", *(f"{x}_{c}" for c in cols for x in "ab"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _fetch_sets(nodes, reps, docs, k, True)
     run, schema = _verify(num, den)
-    return materialize(_with_sets(pairs, sets, "tokens").mapInArrow(run, schema), "links")
+    links = materialize(_with_sets(pairs, sets, "tokens").mapInArrow(run, schema), "links")
+    release(sets)
+    return links
 
 
 def near_duplicates(
@@ -378,7 +386,8 @@ def near_duplicates(
         return rows.where(fits).select("sig", "node", "n")
 
     lists = materialize(partnered(partnered(sigs).distinct()), "lists")
-    sets = _fetch_sets(lists, ids, src, k)
+    reps = materialize(ids.where("n > 0").groupBy("node").agg(F.min(F.struct("h", "id")).alias("rep")), "reps")
+    sketches = _fetch_sets(lists.select("node").distinct(), reps, src, k, False)
 
     components, tried = None, None
     for turn in range(ROUNDS + 1):
@@ -388,16 +397,20 @@ def near_duplicates(
         if turn < ROUNDS:
             pairs = _some_pairs(at, turn).where(f"{den}L * least(a_n, b_n) >= {num}L * greatest(a_n, b_n)").select("a", "b").distinct()
             run, schema = _prune(num, den)
-            pairs = _with_sets(pairs, sets, "n", "sketch").mapInArrow(run, schema)
+            pairs = _with_sets(pairs, sketches, "n", "sketch").mapInArrow(run, schema)
         else:
-            pairs = _block_pairs(at, sets, num, den).distinct()
+            pairs = _block_pairs(at, sketches, num, den).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-        found = _linked(pairs, sets, num, den)
         tried = tried.unionAll(pairs) if tried else pairs
+        release(at)
+        if pairs.isEmpty():
+            continue
+        found = _linked(pairs, reps, src, k, num, den)
         # a component's members are linked already: one edge from each to its least node stands for them
         components = connected_components(found.unionAll(components.select(F.col("node").alias("a"), F.col("component").alias("b"))) if components else found)
-    release(lists)
-    release(sets)
+        release(found)
+    for df in (lists, sketches, reps):
+        release(df)
     if components is None:
         components = spark.createDataFrame([], "node long, component long")
 
@@ -412,7 +425,7 @@ def near_duplicates(
 def _open_members(lists: DataFrame, components: DataFrame | None) -> DataFrame:
     """The rows (sig, node, n, c) of the lists with several components. c: the component as yet."""
     if components is None:
-        return lists.withColumn("c", F.col("node"))
+        return lists.withColumn("c", F.col("node"))  # not a table of its own: nothing to release
     at = lists.join(components, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
     several = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"))
     several = several.where("lo <> hi and m > 2").select("sig")  # two members have been compared with each other
@@ -431,7 +444,7 @@ def _some_pairs(at: DataFrame, turn: int) -> DataFrame:
     return at.select(lo["node"].alias("a"), hi["node"].alias("b"), lo["n"].alias("a_n"), hi["n"].alias("b_n"))
 
 
-def _block_pairs(at: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _block_pairs(at: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Every pair of different components within a list that sketches don't rule out.
 
     A list's members outside its largest component are probes against all of it. Lists of one largest
@@ -441,9 +454,10 @@ def _block_pairs(at: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     sizes = at.groupBy("sig", "c").agg(F.count("*").alias("m"))
     major = sizes.groupBy("sig").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("g"))
     rows = at.join(major, "sig").select("g", "node", "c").distinct()
-    rows = materialize(rows.join(sets.select("node", "n", "sketch"), "node").withColumn("probe", F.expr("c <> g")), "members")
+    rows = materialize(rows.join(sketches, "node").withColumn("probe", F.expr("c <> g")), "members")
     counts = rows.groupBy("g").agg(F.expr("ceil(count_if(probe) / 512)").alias("blocks"), F.expr("ceil(count(*) / 4096)").alias("salts"))
-    rows = rows.join(counts, "g")
+    counts = materialize(counts, "counts")
+    rows = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "g")  # else a component's rows would meet
     x = F.xxhash64("node")
     probes = rows.where("probe").select("*", F.pmod(x, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     targets = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(x, "salts").alias("salt")).withColumn("probe", F.lit(False))
