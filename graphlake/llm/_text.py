@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15 | 5)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _pows: tuple[np.ndarray, np.ndarray] | None = None

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._arrow import map_batches
 from graphlake.llm._text import NOT_ALNUM, string_slices, word_bounds, word_hashes
 from graphlake.llm.fm_index import FMIndex
 
@@ -210,13 +211,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     for b in range(blocks):
         rows = given.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()
         known = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], width))
-        parts.append(src.mapInArrow(_finder(known), RESULT))
+        parts.append(map_batches(src, _finder(known), RESULT))
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             out = out.unionAll(p)
         out = out.groupBy("id", "uid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = out.mapInArrow(_merge, RESULT)
+        out = map_batches(out, _merge, RESULT)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.llm._arrow import map_batches
 from graphlake.llm._scratch import materialize, release
 from graphlake.llm._text import mix64, shingle_sets, sorted_distinct, string_slices
 from graphlake.llm.components import connected_components
@@ -319,7 +320,7 @@ def _fetch_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, k: int, whol
     texts = docs.select("id", "text", F.xxhash64("text").alias("h")).where("text is not null")
     texts = texts.join(F.broadcast(wanted) if few else wanted, (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid")), "left_semi")
     run, schema = _sets(k, whole)
-    sets = materialize(texts.select("text").mapInArrow(run, schema), "sets")
+    sets = materialize(map_batches(texts.select("text"), run, schema), "sets")
     release(wanted)
     total, distinct = sets.agg(F.count("*"), F.countDistinct("node")).first()
     if total > distinct:  # repeated rows of one id that different tasks have read
@@ -340,7 +341,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _fetch_sets(nodes, reps, docs, k, True)
     run, schema = _verify(num, den)
-    links = materialize(_with_sets(pairs, sets, "tokens").mapInArrow(run, schema), "links")
+    links = materialize(map_batches(_with_sets(pairs, sets, "tokens"), run, schema), "links")
     release(sets)
     return links
 
@@ -371,12 +372,12 @@ def near_duplicates(
     spark = docs.sparkSession
 
     run, schema = _profile(k)
-    profile = materialize(src.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema), "profile")
+    profile = materialize(map_batches(src.select("id", F.xxhash64("text").alias("h"), "text"), run, schema), "profile")
     ids = profile.where("kind = 0").select("id", "h", F.col("key").alias("node"), "n")
     tokens, classes = frequent_tokens(profile, frequent, very_frequent)
 
     run, schema = _index(spark.sparkContext.broadcast(tokens), spark.sparkContext.broadcast(classes), k, num, den)
-    sigs = src.select("text").where("text is not null").mapInArrow(run, schema)
+    sigs = map_batches(src.select("text").where("text is not null"), run, schema)
     w = Window.partitionBy("sig").orderBy("n", "node")
     fits = F.expr(f"{den}L * before >= {num}L * n or {den}L * n >= {num}L * after")
 
@@ -397,7 +398,7 @@ def near_duplicates(
         if turn < ROUNDS:
             pairs = _some_pairs(at, turn).where(f"{den}L * least(a_n, b_n) >= {num}L * greatest(a_n, b_n)").select("a", "b").distinct()
             run, schema = _prune(num, den)
-            pairs = _with_sets(pairs, sketches, "n", "sketch").mapInArrow(run, schema)
+            pairs = map_batches(_with_sets(pairs, sketches, "n", "sketch"), run, schema)
         else:
             pairs = _block_pairs(at, sketches, num, den).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
@@ -463,4 +464,4 @@ def _block_pairs(at: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     targets = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(x, "salts").alias("salt")).withColumn("probe", F.lit(False))
     both = probes.unionByName(targets).select("g", "block", "salt", "probe", "node", "c", "n", "sketch")
     run, schema = _within_blocks(num, den)
-    return both.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "probe").mapInArrow(run, schema)
+    return map_batches(both.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "probe"), run, schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._arrow import map_batches
 from graphlake.llm._ngrams import LETTERS, drawn, held_out, ngram_buckets
 from graphlake.llm._text import string_slices
 
@@ -145,5 +146,5 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, *, id_col:
     if model is None:
         out = rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     else:
-        out = rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), "id long, lang_pred string, score double, rejected boolean")
+        out = map_batches(rows, _predictor(docs.sparkSession.sparkContext.broadcast(model)), "id long, lang_pred string, score double, rejected boolean")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "rejected")

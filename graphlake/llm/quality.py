@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._arrow import map_batches
 from graphlake.llm._ngrams import SURFACE, drawn, held_out, ngram_buckets
 from graphlake.llm._text import sorted_distinct, string_slices
 
@@ -161,5 +162,5 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *, id_col: str =
     equal scores; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.select("id", F.lit(0.5).alias("score")) if model is None else rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "id long, score double")
+    out = rows.select("id", F.lit(0.5).alias("score")) if model is None else map_batches(rows, _scorer(docs.sparkSession.sparkContext.broadcast(model)), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

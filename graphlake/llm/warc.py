@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlake.llm._arrow import map_batches
 from graphlake.llm._scratch import new_path
 
 #: Fields of a record's header line by ARC version (fixed values).
@@ -77,7 +78,7 @@ def _to_arc(batches):
 def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """One ARC record per page, the page's HTML in UTF-8 as an HTTP response's payload (null: empty)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows.mapInArrow(_to_arc, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_SECTIONS).option("zlib.compress.level", "BEST_SPEED").text(path)
+    map_batches(rows, _to_arc, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_SECTIONS).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -171,7 +172,7 @@ def _converter(digests_only: bool):
 def read_arc(spark: SparkSession, path: str, *, digests_only: bool = False) -> DataFrame:
     """The records of all ARC files under a path, with the identifiers, dates and digests of their WARC forms."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_converter(digests_only), _CONVERTED)
+    return map_batches(files, _converter(digests_only), _CONVERTED)
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 0) -> None:
@@ -252,7 +253,7 @@ def _reader(batches):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record but warcinfo, responses' digests verified."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_reader, _READ)
+    return map_batches(spark.read.format("binaryFile").load(path).select("content"), _reader, _READ)
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
