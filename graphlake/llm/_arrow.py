@@ -46,6 +46,6 @@ def map_batches(df, run: Callable[[Iterator], Iterator], schema: str):
     spark: SparkSession = df.sparkSession
     for key, value, default in (("maxBytesPerBatch", BATCH_BYTES, ("67108864", "67108864b", "64m")), ("maxRecordsPerBatch", BATCH_ROWS, ("10000",))):
         key = f"spark.sql.execution.arrow.{key}"
-        if str(spark.conf.get(key, "")).lower() in default:  # a user's own setting stays
+        if str(spark.conf.get(key)).lower() in default:  # a user's own setting stays
             spark.conf.set(key, value)
     return df.mapInArrow(frugal(run), schema)
