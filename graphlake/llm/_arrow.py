@@ -13,6 +13,10 @@ from pyspark.sql import SparkSession
 BATCH_BYTES, BATCH_ROWS = "8m", "2000"
 
 
+#: What modules keep in a worker between tasks, by name: functions that let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
 def _give_back() -> None:
     """Return freed memory to the system: workers live on after a task, side by side with the JVM."""
     pa.default_memory_pool().release_unused()
@@ -22,8 +26,9 @@ def _give_back() -> None:
         pass
 
 
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives memory back now and then and at its end."""
+def frugal(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back now and then and at its end. ``keeps``: what it shares
+    with other tasks of its kind; what other kinds have left in the worker goes first."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
@@ -33,6 +38,10 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
                     _give_back()
                 yield batch
 
+        for name, let_go in HELD.items():
+            if name != keeps:
+                let_go()
+        _give_back()
         try:
             yield from run(watched())
         finally:
@@ -41,11 +50,11 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return wrapped
 
 
-def map_batches(df, run: Callable[[Iterator], Iterator], schema: str):
+def map_batches(df, run: Callable[[Iterator], Iterator], schema: str, keeps: str = ""):
     """``df.mapInArrow`` with small batches and frugal workers."""
     spark: SparkSession = df.sparkSession
     for key, value, default in (("maxBytesPerBatch", BATCH_BYTES, ("67108864", "67108864b", "64m")), ("maxRecordsPerBatch", BATCH_ROWS, ("10000",))):
         key = f"spark.sql.execution.arrow.{key}"
         if str(spark.conf.get(key)).lower() in default:  # a user's own setting stays
             spark.conf.set(key, value)
-    return df.mapInArrow(frugal(run), schema)
+    return df.mapInArrow(frugal(run, keeps), schema)

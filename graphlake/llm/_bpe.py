@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 
+from graphlake.llm._arrow import HELD
 from graphlake.llm._text import mix64
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
@@ -213,6 +214,7 @@ def _pows(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _encoders: dict[str, WordEncoder] = {}
+HELD["words"] = _encoders.clear
 
 
 def encoder(path: str) -> WordEncoder:
