@@ -26,6 +26,14 @@ def _give_back() -> None:
         pass
 
 
+def _begin(keeps: str) -> None:
+    """In a worker, and by reference to its own module: let go of what other kinds of tasks have left."""
+    for name, let_go in HELD.items():
+        if name != keeps:
+            let_go()
+    _give_back()
+
+
 def frugal(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
     """A function over batches that gives memory back now and then and at its end. ``keeps``: what it shares
     with other tasks of its kind; what other kinds have left in the worker goes first."""
@@ -38,10 +46,7 @@ def frugal(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[It
                     _give_back()
                 yield batch
 
-        for name, let_go in HELD.items():
-            if name != keeps:
-                let_go()
-        _give_back()
+        _begin(keeps)
         try:
             yield from run(watched())
         finally:
