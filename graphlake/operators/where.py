@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.errors import fail
+from graphlake.functions.json_path import JsonPath
+from graphlake.functions.patterns import PATTERNS, matches
 from graphlake.schema import Relation, Table
 from graphlake.values import UNSET, given
 
 #: The keys that make a dict a filter (fixed values).
 FILTER_KEYS = {"equals", "in", "notIn", "lt", "lte", "gt", "gte", "contains", "startsWith", "endsWith", "mode", "not"}
 _COMPARE = {"lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v}
-_PATTERN = {"contains": "%{}%", "startsWith": "{}%", "endsWith": "%{}"}
 
 
 def both(a: Column | None, b: Column | None) -> Column | None:
@@ -31,14 +32,6 @@ def equal(c: Column, v: Any) -> Column:
     return c.isNull() if v is None else c == F.lit(v)
 
 
-def _like(c: Column, template: str, v: str, insensitive: bool, escape: bool) -> Column:
-    v = v.replace("\\", "\\\\")  # Spark's escape sign; a lone one is an error
-    if escape:
-        v = v.replace("%", "\\%").replace("_", "\\_")
-    pattern = template.format(v)
-    return c.ilike(pattern) if insensitive else c.like(pattern)
-
-
 class WhereCompiler:
     """Compiles filters of one client. ``scan`` gives a table's rows; aliases are t1, t2, ..."""
 
@@ -106,63 +99,41 @@ class WhereCompiler:
                 terms.append(~c.isin(list(v)) if v else F.lit(True))
             elif op in _COMPARE:
                 terms.append(_COMPARE[op](c, F.lit(v)))
-            elif op in _PATTERN:
-                terms.append(_like(c, _PATTERN[op], v, insensitive, self.escape_like))
+            elif op in PATTERNS:
+                terms.append(matches(c, op, v, insensitive=insensitive, escape=self.escape_like))
             elif op == "not":
                 inner = self.scalar(c, v)
                 terms.append(None if inner is None else ~inner)
         return all_of(terms)
 
-    # JSON paths: every comparison holds for the JSON type of its operand alone
+    # JSON paths
 
     def _json(self, c: Column, paths: dict) -> Column | None:
-        doc = F.try_parse_json(c)
-        return all_of(self._json_path(doc, path, v) for path, v in given(paths).items())
-
-    def _json_path(self, doc: Column, path: str, value: Any) -> Column | None:
-        at = "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in path.split("."))
-        node = F.try_variant_get(doc, at, "variant")
-        kind = F.schema_of_variant(node)
-
-        def typed(v: Any) -> tuple[Column, Column]:
-            """(the node has v's JSON type, the node's value)"""
-            if isinstance(v, bool):
-                return kind == "BOOLEAN", F.try_variant_get(doc, at, "boolean")
-            if isinstance(v, str):
-                return kind == "STRING", F.try_variant_get(doc, at, "string")
-            return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(doc, at, "double")
-
-        def equals(v: Any) -> Column:
-            if v is None:
-                return F.is_variant_null(node)
-            ok, got = typed(v)
-            return ok & (got == F.lit(v))
-
-        def one(v: Any) -> Column | None:
-            if not isinstance(v, dict):
-                return equals(v)
-            terms = []
-            for op, x in given(v).items():
-                if op == "equals":
-                    terms.append(equals(x))
-                elif op in _COMPARE:
-                    ok, got = typed(float(x))
-                    terms.append(ok & _COMPARE[op](got, F.lit(x)))
-                elif op in _PATTERN:
-                    ok, got = typed("")
-                    terms.append(ok & _like(got, _PATTERN[op], x, False, self.escape_like))
-                elif op == "in":
-                    terms.append(reduce(lambda a, b: a | b, [equals(y) for y in x], F.lit(False)))
-                elif op == "notIn":
-                    terms.append(all_of(~equals(y) for y in x) if x else F.lit(True))
-                elif op == "not":
-                    inner = one(x)
-                    terms.append(None if inner is None else ~inner)
-                elif op != "mode":
-                    raise fail(f'Unknown JSON filter "{op}"')
-            return all_of(terms)
-
-        return one(value)
+        return all_of(self._json_filter(JsonPath(c, path), v) for path, v in given(paths).items())
+
+    def _json_filter(self, at: JsonPath, value: Any) -> Column | None:
+        if not isinstance(value, dict):
+            return at.equals(value)
+        terms: list[Column | None] = []
+        for op, x in given(value).items():
+            if op == "equals":
+                terms.append(at.equals(x))
+            elif op in _COMPARE:
+                ok, got = at.typed(float(x))
+                terms.append(ok & _COMPARE[op](got, F.lit(x)))
+            elif op in PATTERNS:
+                ok, got = at.typed("")
+                terms.append(ok & matches(got, op, x, escape=self.escape_like))
+            elif op == "in":
+                terms.append(reduce(lambda a, b: a | b, [at.equals(y) for y in x], F.lit(False)))
+            elif op == "notIn":
+                terms.append(all_of(~at.equals(y) for y in x) if x else F.lit(True))
+            elif op == "not":
+                inner = self._json_filter(at, x)
+                terms.append(None if inner is None else ~inner)
+            elif op != "mode":
+                raise fail(f'Unknown JSON filter "{op}"')
+        return all_of(terms)
 
     # relations
 
