@@ -19,8 +19,8 @@ from graphlake.llm._text import mix64
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
-SLOTS = 1 << 22
+REMEMBERED = 1_000_000
+SLOTS = 1 << 21
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 5)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))

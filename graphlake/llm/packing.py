@@ -22,7 +22,7 @@ from graphlake.llm._bpe import encoder
 #: Items that are partitioned together.
 BLOCK = 512
 #: Code points that are encoded together.
-SLICE = 300_000
+SLICE = 150_000
 
 
 def differencing(sizes: list[int], ways: int) -> tuple[list[list[int]], int]:
