@@ -25,19 +25,20 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """-> (id_col, keep_id, group_size, kept, *carry), one row per input row.
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, tie_col: str | None = None) -> DataFrame:
+    """-> (id_col, keep_id, group_size, kept, *carry), one row per input row; with ``tie_col`` that column as well.
 
     Texts are equal when they are identical without whitespace. Of equal texts the row with the most code
     points in the original stays, then the smallest id. The whole text is hashed only in rows that share
     length and prefix with another. ``carry``: more columns to return, as expressions over ``docs``.
+    ``tie_col``: a column of unique numbers; of rows that tie the one of the least number stays, and it alone.
 
-    Defined cases: a null text is an empty one; null ids sort last; rows that tie in everything, repeated
-    rows included, share one keep_id, and ``kept`` is true on each row of the group whose id is keep_id, so
+    Defined cases: a null text is an empty one; null ids sort last; without ``tie_col`` rows that tie in
+    everything, repeated rows included, share one keep_id, and ``kept`` is true on each row of the group whose id is keep_id, so
     on repeats of it as well; texts count whole; an empty table gives an empty result; other columns are not
     read.
     """
-    carry = carry or {}
+    carry = (carry or {}) | ({tie_col: F.col(tie_col)} if tie_col else {})
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
     length, prefix = F.length(norm), F.xxhash64(F.substring(norm, 1, PREFIX))
@@ -54,10 +55,11 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = rows.withColumn("__suspect", F.lit(True))
     hashed = materialize(rows.select("__id", "__points", F.when(F.col("__suspect"), F.sha2(F.col("__norm").cast("binary"), 256)).alias("__full"), *carry), "hashed")
 
-    best = F.min(F.struct(-F.col("__points"), F.col("__id").isNull(), F.col("__id").alias("id")))
-    groups = hashed.where("__full is not null").groupBy(F.col("__full").alias("__of")).agg(best["id"].alias("__keep"), F.count("*").alias("__size"))
+    tie = F.col(tie_col) if tie_col else F.lit(None).cast("long")
+    best = F.min(F.struct(-F.col("__points"), F.col("__id").isNull(), F.col("__id").alias("id"), tie.alias("tie")))
+    groups = hashed.where("__full is not null").groupBy(F.col("__full").alias("__of")).agg(best["id"].alias("__keep"), best["tie"].alias("__tie"), F.count("*").alias("__size"))
     # rows without a hash stand alone; in the join their nulls would meet in one task
     alone = hashed.where("__full is null").select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *carry)
     out = hashed.where("__full is not null").join(groups, F.col("__full") == F.col("__of"))
-    kept = F.col("__keep").eqNullSafe(F.col("__id"))
+    kept = F.col("__tie") == F.col(tie_col) if tie_col else F.col("__keep").eqNullSafe(F.col("__id"))
     return alone.unionAll(out.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), kept.alias("kept"), *carry))

@@ -116,6 +116,42 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in pieces.collect()} == set(kept)
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Repeated rows, shared ids and null ids through every stage: decisions take effect on their own row."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    item, near = text(rng, 20), text(rng, 60)
+    clean = [text(rng, 60) for _ in range(11)]
+    rows = [(i, clean[0]) for i in (1, 1, 1)] + [(2, near), (2, near), (3, near + " x1"), (3, near + " x1"), (None, near + " x2"), (None, near + " x3")]
+    rows += [(None, clean[1]), (None, clean[1]), (4, clean[2]), (None, clean[2]), (None, clean[3]), (None, clean[3] + " x1")]
+    rows += [(5, clean[4]), (6, clean[4]), (6, clean[5]), (7, "12 34"), (7, clean[6]), (None, "12 34"), (8, clean[7] + " " + item), (8, clean[8]), (None, clean[9] + " " + item)]
+    rows += [(9, clean[10]), (9, clean[10][:40] + "  " + clean[10][40:])]
+    frame(spark, [(i, t, "en", "s", len(t)) for i, t in rows], DDL).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, [(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "stage")
+        got[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    want = [r for r in rows if r[1] != "12 34"]
+    assert got["language ID"] == sorted(want, key=str)
+    want = [r for r in dict.fromkeys(want) if r not in ((None, clean[2]), (6, clean[4]), (9, clean[10]))]
+    assert got["exact dedup"] == sorted(want, key=str)
+    joined = got["n-gram Jaccard join"]
+    assert sum((r[1] or "").startswith(clean[3]) for r in joined) == 1
+    want = [r for r in want if (r[1] == near or not r[1].startswith(near)) and not r[1].startswith(clean[3])]
+    assert [r for r in joined if not r[1].startswith(clean[3])] == sorted(want, key=str)
+    want = [r for r in joined if item not in r[1]]
+    assert got["benchmark decontamination"] == want and len(want) == len(joined) - 2
+    pieces = stages["packing"](spark, docs, str(tmp_path)).where("start = 0").collect()
+    assert sorted(str(r.doc_id) for r in pieces) == sorted(str(r[0]) for r in want)
+    # not a reading of files: the rows are written to be numbered
+    copies = spark.createDataFrame([(1, clean[0], "en", "s", 1)] * 3, DDL)
+    assert corpus_pipeline.drop_exact_copies(spark, copies, str(tmp_path)).count() == 1
+
+
 def test_the_core_needs_no_llm():
     """Nothing outside the subpackage imports it, but for the entry's guard."""
     root = Path(__file__).resolve().parents[2]
