@@ -38,8 +38,8 @@ def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             cat = unicodedata.category(ch)
             kind[c] = LETTER if cat[0] == "L" else NUMBER if cat[0] == "N" else SPACE if ch.isspace() and not 0x1C <= c <= 0x1F else OTHER
             low = ch.lower()
-            # code points that NFC may change or join, that lower-case to several, or that versions may class otherwise
-            if len(low) != 1 or cat in ("Cn", "Cs", "Co") or unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch or 0x1100 <= c < 0x1200 or 0x1C <= c <= 0x1F or c in (0x85, 0x180E, 0x200B, 0xFEFF, 0x3A3):
+            # code points that NFC may change or join, that lower-case to several or beyond the tables, or that versions may class otherwise
+            if len(low) != 1 or ord(low) >= n or cat in ("Cn", "Cs", "Co") or unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch or 0x1100 <= c < 0x1200 or 0x1C <= c <= 0x1F or c in (0x85, 0x180E, 0x200B, 0xFEFF, 0x3A3):
                 odd[c] = True
             else:
                 lower[c] = ord(low)

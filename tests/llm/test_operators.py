@@ -166,6 +166,17 @@ def test_word_encoder(tokenizer_path, monkeypatch):
     assert [g.tolist() for g in got] == [encoder.whole.encode(c, add_special_tokens=False).ids for c in cases]
 
 
+def test_word_encoder_takes_every_letter(tokenizer_path):
+    """Each code point that the tables hold, capitals whose lower case lies beyond them among these."""
+    from graphlake.llm import _bpe
+
+    encoder = _bpe.WordEncoder(tokenizer_path)
+    cases = [f"a {chr(c)}b" for c in range(0x3000)]
+    got = encoder.encode(cases)
+    assert [g.tolist() for g in got] == [encoder.whole.encode(c, add_special_tokens=False).ids for c in cases]
+    assert [g.tolist() for g in encoder.encode(["\u13a0 one", "ab\u13efC"])] == [encoder.whole.encode(c, add_special_tokens=False).ids for c in ("\u13a0 one", "ab\u13efC")]
+
+
 def test_packing(spark, tokenizer_path):
     from tokenizers import Tokenizer
 
