@@ -20,6 +20,13 @@ ROWS_PER_LANGUAGE, MAX_LANGUAGES = 400, 256
 MAX_CHARS = 40_000_000
 #: Of right answers on the calibration rows, the share that rejection may lose; and its highest threshold.
 LOST, HIGHEST = 0.001, 0.5
+#: Rows scored for calibration beside the sample, about: a language, and in all.
+CALIBRATION_ROWS, CALIBRATION_TOTAL = 5_000, 100_000
+#: The right answers that a language's own floor takes at least; how many must lie beyond a quantile that is read
+#: off; and how many of the lowest one is extrapolated from.
+LEAST_RIGHT, RESOLVED, TAIL = 20, 3, 20
+#: The share of a language's texts that an n-gram which none has counts for.
+UNSEEN = 1e-4
 
 
 @dataclass
@@ -31,23 +38,45 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
-
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """By text of the slice; n-grams don't cross texts."""
-        total, count = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1)
+    seen: np.ndarray  # by bucket: the log of the largest share of a language's texts that have it
+    floors: np.ndarray  # by language: the least typicality, -inf where too few answers were right
+    right: np.ndarray  # language, score and typicality of the right answers on the fifth
+
+    def measure(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By text of the slice the logits, and its typicality: the mean of ``seen``; n-grams don't cross texts."""
+        columns = [*self.table.T, self.seen]
+        total, count = np.zeros((len(offsets) - 1, len(columns))), np.zeros(len(offsets) - 1)
         for n, buckets in zip(SIZES, ngram_buckets(data, LETTERS, SIZES, BITS)):
             lo = offsets[:-1]
             hi = np.maximum(offsets[1:] - (n - 1), lo)
             lo, hi = np.minimum(lo, len(buckets)), np.minimum(hi, len(buckets))
             count += hi - lo
-            for c in range(len(self.languages)):
-                sums = np.concatenate([[0.0], np.cumsum(self.table[:, c][buckets], dtype=np.float64)])
+            for c, column in enumerate(columns):
+                sums = np.concatenate([[0.0], np.cumsum(column[buckets], dtype=np.float64)])
                 total[:, c] += sums[hi] - sums[lo]
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return mean[:, :-1] + self.bias, mean[:, -1]
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         return _softmax(logits / self.temperature)
 
+    def calibrate(self, right: np.ndarray) -> None:
+        """Set threshold and floors. right: language, score and typicality of right answers outside the fit."""
+        self.threshold = min(HIGHEST, low_quantile(right[:, 1], LOST)) if len(right) else 0.0
+        by = [right[right[:, 0] == c, 2] for c in range(len(self.languages))]
+        self.floors = np.array([low_quantile(x, LOST) if len(x) >= LEAST_RIGHT else -np.inf for x in by])
+
+
+def low_quantile(x: np.ndarray, share: float) -> float:
+    """The value that ``share`` of the rows lie below. Where fewer than RESOLVED do, the lowest TAIL rows, a tenth at
+    most, are taken for an exponential tail and their median for that tail's, so that no single row sets the value."""
+    x = np.sort(x)
+    if share * len(x) >= RESOLVED:
+        return float(x[int(share * len(x))])
+    n = min(TAIL, len(x) // 10)
+    top = float(x[n])
+    return top - float(np.median(top - x[: n + 1])) / np.log(2) * np.log(max(1.0, (n or 1) / len(x) / share))
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -83,15 +112,23 @@ def train(texts: list[str], languages: list[str], *, epochs: int = 4, rate: floa
             bias -= step * 0.1 * g
             # the mean's gradient goes to each n-gram in its share, scaled up as fastText's sums are
             emb[ids] = rows - (step * np.minimum(share * 50, 1))[:, None] * back[None]
-    model = LanguageModel(names, (emb @ out).astype(np.float32), bias, 1.0, 0.0)
+    seen = np.full(1 << BITS, UNSEEN)
+    for c in range(len(names)):
+        own, n = fit[y[fit] == c], np.zeros(1 << BITS)
+        for i in own:
+            n[docs[i][0]] += 1
+        seen = np.maximum(seen, n / max(1, len(own)))
+    model = LanguageModel(names, (emb @ out).astype(np.float32), bias, 1.0, 0.0, np.log(seen).astype(np.float32), np.full(len(names), -np.inf), np.zeros((0, 3)))
     if len(check):
         logits = np.array([share @ model.table[ids] for ids, share in (docs[i] for i in check)]) + bias
         scale = np.geomspace(0.05, 5, 60)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in scale]
         model.temperature = float(scale[int(np.argmin(loss))])
         p = model.probabilities(logits)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[check]])
-        model.threshold = min(HIGHEST, float(right[int(LOST * len(right))])) if len(right) else 0.0
+        typical = np.array([share @ model.seen[ids] for ids, share in (docs[i] for i in check)])
+        best = p.argmax(axis=1)
+        model.right = np.stack([best, p.max(axis=1), typical], 1)[best == y[check]]
+        model.calibrate(model.right)
     return model
 
 
@@ -112,7 +149,35 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             taken[lang] = taken.get(lang, 0) + 1
             texts.append(text)
             langs.append(lang)
-    return train(texts, langs) if texts else None
+    if not texts:
+        return None
+    model = train(texts, langs)
+    # the fifth is too small for the quantile: rows next to the sample are scored where they lie
+    aside_each = min(CALIBRATION_ROWS, CALIBRATION_TOTAL // len(counts))
+    more = F.coalesce(*[F.when(F.col(lang_col) == r[0], F.lit(aside_each / r[1])) for r in counts], F.lit(0.0))
+    aside = known.where(drawn(F.col(id_col), rate + more) & ~drawn(F.col(id_col), rate) & F.col(lang_col).isin(model.languages))
+    aside = aside.select(F.col(lang_col), F.col(text_col).rlike("\\p{L}"), F.col(text_col))
+    scored = map_batches(aside, _calibrator(docs.sparkSession.sparkContext.broadcast(model)), "best long, score double, typical double").toArrow()
+    model.calibrate(np.concatenate([model.right, np.stack([c.to_numpy().astype(np.float64) for c in scored.columns], 1)]))
+    return model
+
+
+def _calibrator(model_b):
+    """(language, whether there is a letter, text) -> the right answers' language, score and typicality."""
+
+    def run(batches):
+        model = model_b.value
+        names = np.array(model.languages, object)
+        for batch in batches:
+            lang, lettered = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for lo, hi, data, offsets in string_slices(batch.column(2)):
+                logits, typical = model.measure(data, offsets)
+                p = model.probabilities(logits)
+                best = p.argmax(axis=1)
+                ok = (names[best] == lang[lo:hi]) & lettered[lo:hi].astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(best[ok]), pa.array(p.max(axis=1)[ok]), pa.array(typical[ok])], names=["best", "score", "typical"])
+
+    return run
 
 
 def _predictor(model_b):
@@ -120,14 +185,15 @@ def _predictor(model_b):
         model = model_b.value
         for batch in batches:
             lettered = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            best, score, typical = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for lo, hi, data, offsets in string_slices(batch.column(2)):
-                p = model.probabilities(model.logits(data, offsets))
+                logits, typical[lo:hi] = model.measure(data, offsets)
+                p = model.probabilities(logits)
                 best[lo:hi], score[lo:hi] = p.argmax(axis=1), p.max(axis=1)
             score[~lettered] = 0.0
             lang = np.array(model.languages, object)[best]
             lang[~lettered] = "und"
-            rejected = ~lettered | (score < model.threshold)
+            rejected = ~lettered | (score < model.threshold) | (typical < model.floors[best])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["id", "lang_pred", "score", "rejected"])
 
     return run
@@ -136,7 +202,9 @@ def _predictor(model_b):
 def identify_languages(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (id_col, held_out, lang_pred, score, rejected), one row per document, from its whole text alone.
 
-    rejected: the text has no letter, or the calibrated score is below the model's threshold.
+    rejected: the text has no letter, the calibrated score is below the model's threshold, or the n-grams are
+    less typical of learned texts than all but LOST of the right answers for that language. A language with
+    fewer than LEAST_RIGHT right answers outside the fit has no such floor.
 
     Defined cases: a text that is null, empty or without a letter is ``und`` with score 0, rejected; without
     a model (no row to learn from) every text is; a null id keeps its row and counts as held out; repeated

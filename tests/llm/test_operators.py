@@ -284,6 +284,24 @@ def test_language_id(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_rejection(spark):
+    """Gibberish and an unlearned language are rejected, though one junk row is labelled; held-out texts stay."""
+    from graphlake.llm.language_id import fit_languages, identify_languages, low_quantile
+
+    rng = random.Random(5)
+    sounds = {"aa": "ka to mi ra su", "bb": "sch ung ein ver zu", "cc": "eau oui tre que les", "xx": "pl ok nd wy gry"}
+    some = lambda lang: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(3)) for _ in range(rng.randint(4, 60)))
+    rows = [(i, some(lang), lang) for i in range(2000) for lang in [rng.choice(["aa", "bb", "cc"])]]
+    rows += [(3000 + i, "q", "aa") for i in range(6)]
+    new = [(5000 + i, some("xx"), None) for i in range(100)] + [(6000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(200)), None) for i in range(100)]
+    docs = frame(spark, rows + new, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify_languages(docs, fit_languages(docs)).collect()}
+    held = [i for i, *_ in rows[:2000] if got[i].held_out]
+    assert all(got[i].rejected for i, *_ in new) and sum(got[i].rejected for i in held) <= 0.01 * len(held)
+    x = np.random.default_rng(1).normal(5, 1, 300)
+    assert abs(low_quantile(x, 0.001) - low_quantile(np.append(x, -1000.0), 0.001)) < 0.5 and low_quantile(np.arange(10_000.0), 0.001) == 10
+
+
 def test_quality(spark):
     from graphlake.llm.quality import fit_quality, score_quality
 
