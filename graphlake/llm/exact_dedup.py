@@ -16,8 +16,10 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-#: The most (length, prefix) pairs that are broadcast; beyond it every text is hashed.
+#: The most (length, prefix) pairs that are broadcast themselves; beyond it a bitmap of their hashes is.
 BROADCAST_ROWS = 2_000_000
+#: Bits of the bitmap for each pair, and its size at most (64 MB), in maps of 2^15 bits.
+BITS_A_PAIR, MOST_MAPS = 16, 1 << 14
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -25,6 +27,19 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
 
 
+def _marked(rows: DataFrame, suspects: DataFrame, n: int) -> DataFrame:
+    """``rows`` with __suspect: true for rows of the ``n`` suspect pairs and for the few whose hash meets one of
+    theirs in a bitmap. These are hashed whole for nothing, and stand alone. No text is shuffled."""
+    maps = min(MOST_MAPS, max(1, -(-n * BITS_A_PAIR // (1 << 15))))
+    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(maps << 15))
+    at = suspects.select(place("len", "prefix").alias("at"))
+    bitmap = at.groupBy(F.shiftright("at", 15).alias("__map")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("__bits"))
+    rows = rows.withColumn("__at", place("__len", "__prefix")).withColumn("__map", F.shiftright("__at", 15))
+    byte = F.expr("conv(hex(substring(__bits, cast((__at & 32767) div 8 + 1 as int), 1)), 16, 10)").cast("long")
+    bit = F.expr("cast(__at & 7 as int)")
+    return rows.join(F.broadcast(bitmap), "__map", "left").withColumn("__suspect", F.getbit(byte, bit) == 1)
+
+
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, tie_col: str | None = None) -> DataFrame:
     """-> (id_col, keep_id, group_size, kept, *carry), one row per input row; with ``tie_col`` that column as well.
 
@@ -49,10 +64,11 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     release(first)
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), length.alias("__len"), prefix.alias("__prefix"), F.length(text).alias("__points"), norm.alias("__norm"), *(c.alias(k) for k, c in carry.items()))
-    if suspects.count() <= BROADCAST_ROWS:
+    n = suspects.count()
+    if n <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(suspects.toDF("__len", "__prefix", "__suspect")), ["__len", "__prefix"], "left")
     else:
-        rows = rows.withColumn("__suspect", F.lit(True))
+        rows = _marked(rows, suspects, n)
     hashed = materialize(rows.select("__id", "__points", F.when(F.col("__suspect"), F.sha2(F.col("__norm").cast("binary"), 256)).alias("__full"), *carry), "hashed")
 
     tie = F.col(tie_col) if tie_col else F.lit(None).cast("long")

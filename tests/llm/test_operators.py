@@ -149,6 +149,26 @@ def test_exact_dedup(spark):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_duplicates(frame(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("maps", [1 << 14, 1])
+def test_exact_dedup_beyond_the_broadcast(spark, monkeypatch, maps):
+    """With more pairs than are broadcast, rows that share length and prefix with none still go without a whole hash."""
+    from graphlake.llm import exact_dedup
+
+    written = {}
+    keep = lambda df, name: written.setdefault(name, exact_dedup_materialize(df, name))
+    exact_dedup_materialize = exact_dedup.materialize
+    rng = random.Random(2)
+    rows = corpus() + [(1000 + i, text(rng, 30) + "y" * i) for i in range(300)] + [(2000 + i, f"{i % 2000:05d}") for i in range(6000)]
+    plain = sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "materialize", keep)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "MOST_MAPS", maps)
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == plain
+    whole = written["hashed"].where("__full is not null").count()
+    must = sum(r[2] > 1 for r in plain)
+    assert must <= whole <= len(rows) - 200
+
+
 @pytest.fixture(scope="module")
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
