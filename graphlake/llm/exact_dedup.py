@@ -1,4 +1,9 @@
-"""Exact dedup by progressive refinement: length, then the hash of a prefix, then the hash of the whole text."""
+"""Exact dedup by progressive refinement: length, then the hash of a prefix, then the hash of the whole text.
+
+What a step leaves over is a bitmap that every task of the next step has: of lengths one bit each, of (length,
+prefix) pairs one bit by hash. So no step brings rows of one length together and no text is shuffled, whatever the
+number of groups. Only counts and, of the survivors, whole hashes move.
+"""
 
 from __future__ import annotations
 
@@ -9,67 +14,63 @@ from graphlake.llm._scratch import materialize, release
 
 #: Code points of the prefix whose hash the second step compares.
 PREFIX = 64
+#: Bits of a map; of the pairs' bitmap the bits for each pair, and the maps at most (64 MB in all).
+MAP_BITS, BITS_A_PAIR, MOST_MAPS = 1 << 15, 16, 1 << 14
 
 
 def normalised(text: Column) -> Column:
     """The text without the characters of [\\x20\\x09-\\x0D]; a null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
-
-
-#: The most (length, prefix) pairs that are broadcast themselves; beyond it a bitmap of their hashes is.
-BROADCAST_ROWS = 2_000_000
-#: Bits of the bitmap for each pair, and its size at most (64 MB), in maps of 2^15 bits.
-BITS_A_PAIR, MOST_MAPS = 16, 1 << 14
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The key tuples that several rows share: a partial aggregate, so copies meet as counts only."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
+def _bitmap(places: DataFrame) -> DataFrame:
+    """places (at) -> (__map, __bits), to be broadcast: a map has MAP_BITS bits."""
+    at = places.groupBy(F.floor(F.col("at") / MAP_BITS).cast("int").alias("__map"))
+    return at.agg(F.bitmap_construct_agg(F.pmod("at", F.lit(MAP_BITS))).alias("__bits"))
 
 
-def _marked(rows: DataFrame, suspects: DataFrame, n: int) -> DataFrame:
-    """``rows`` with __suspect: true for rows of the ``n`` suspect pairs and for the few whose hash meets one of
-    theirs in a bitmap. These are hashed whole for nothing, and stand alone. No text is shuffled."""
-    maps = min(MOST_MAPS, max(1, -(-n * BITS_A_PAIR // (1 << 15))))
-    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(maps << 15))
-    at = suspects.select(place("len", "prefix").alias("at"))
-    bitmap = at.groupBy(F.shiftright("at", 15).alias("__map")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("__bits"))
-    rows = rows.withColumn("__at", place("__len", "__prefix")).withColumn("__map", F.shiftright("__at", 15))
-    byte = F.expr("conv(hex(substring(__bits, cast((__at & 32767) div 8 + 1 as int), 1)), 16, 10)").cast("long")
-    bit = F.expr("cast(__at & 7 as int)")
-    return rows.join(F.broadcast(bitmap), "__map", "left").withColumn("__suspect", F.getbit(byte, bit) == 1)
+def _marked(rows: DataFrame, at: Column, bitmap: DataFrame) -> DataFrame:
+    """``rows`` with __hit: whether the bit at ``at`` is set."""
+    rows = rows.withColumn("__at", at).withColumn("__map", F.floor(F.col("__at") / MAP_BITS).cast("int")).withColumn("__at", F.pmod("__at", F.lit(MAP_BITS)))
+    byte = F.expr("conv(hex(substring(__bits, cast(__at div 8 + 1 as int), 1)), 16, 10)").cast("long")
+    hit = F.getbit(byte, F.expr("cast(__at & 7 as int)")) == 1
+    return rows.join(F.broadcast(bitmap), "__map", "left").withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__map", "__at", "__bits")
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, tie_col: str | None = None) -> DataFrame:
     """-> (id_col, keep_id, group_size, kept, *carry), one row per input row; with ``tie_col`` that column as well.
 
     Texts are equal when they are identical without whitespace. Of equal texts the row with the most code
-    points in the original stays, then the smallest id. The whole text is hashed only in rows that share
-    length and prefix with another. ``carry``: more columns to return, as expressions over ``docs``.
-    ``tie_col``: a column of unique numbers; of rows that tie the one of the least number stays, and it alone.
+    points in the original stays, then the smallest id. The prefix is compared in rows whose length others share,
+    the whole text is hashed in rows that share both (and in the few whose bit another pair has set; beyond 2^25
+    pairs, more of these: the bitmap's size is bounded, the result is the same). ``carry``: more columns to return,
+    as expressions over ``docs``. ``tie_col``: a column of unique numbers; of rows that tie the one of the least
+    number stays, and it alone.
 
     Defined cases: a null text is an empty one; null ids sort last; without ``tie_col`` rows that tie in
-    everything, repeated rows included, share one keep_id, and ``kept`` is true on each row of the group whose id is keep_id, so
-    on repeats of it as well; texts count whole; an empty table gives an empty result; other columns are not
-    read.
+    everything, repeated rows included, share one keep_id, and ``kept`` is true on each row of the group whose id is
+    keep_id, so on repeats of it as well; texts count whole; an empty table gives an empty result; other columns are
+    not read.
     """
     carry = (carry or {}) | ({tie_col: F.col(tie_col)} if tie_col else {})
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
-    length, prefix = F.length(norm), F.xxhash64(F.substring(norm, 1, PREFIX))
+    length, prefix = F.length(norm).cast("long"), F.xxhash64(F.substring(norm, 1, PREFIX))
 
     first = materialize(docs.select(length.alias("len"), prefix.alias("prefix")), "prefixes")
-    survivors = first.join(_repeated(first, "len"), "len", "left_semi")
-    suspects = materialize(_repeated(survivors, "len", "prefix").withColumn("suspect", F.lit(True)), "suspects")
-    release(first)
+    lengths = materialize(_bitmap(first.groupBy(F.col("len").alias("at")).agg(F.count("*").alias("n")).where("n > 1")), "lengths")
+    survivors = _marked(first, F.col("len"), lengths).where("__hit")
+    pairs = materialize(survivors.groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix"), "pairs")
+    maps = min(MOST_MAPS, max(1, -(-pairs.count() * BITS_A_PAIR // MAP_BITS)))
+    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(maps * MAP_BITS))
+    suspects = materialize(_bitmap(pairs.select(place("len", "prefix").alias("at"))), "suspects")
+    for df in (first, lengths, pairs):
+        release(df)
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), length.alias("__len"), prefix.alias("__prefix"), F.length(text).alias("__points"), norm.alias("__norm"), *(c.alias(k) for k, c in carry.items()))
-    n = suspects.count()
-    if n <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(suspects.toDF("__len", "__prefix", "__suspect")), ["__len", "__prefix"], "left")
-    else:
-        rows = _marked(rows, suspects, n)
-    hashed = materialize(rows.select("__id", "__points", F.when(F.col("__suspect"), F.sha2(F.col("__norm").cast("binary"), 256)).alias("__full"), *carry), "hashed")
+    rows = _marked(rows, place("__len", "__prefix"), suspects)
+    hashed = materialize(rows.select("__id", "__points", F.when(F.col("__hit"), F.sha2(F.col("__norm").cast("binary"), 256)).alias("__full"), *carry), "hashed")
+    release(suspects)
 
     tie = F.col(tie_col) if tie_col else F.lit(None).cast("long")
     best = F.min(F.struct(-F.col("__points"), F.col("__id").isNull(), F.col("__id").alias("id"), tie.alias("tie")))
