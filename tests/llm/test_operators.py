@@ -111,33 +111,71 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, **{i: 7 for i in range(200, 260)}}
 
 
-def brute_shards(rows, shards):
-    from graphlake.llm.sharding import WHOLE_GROUP
-
-    keyed = sorted((hashlib.md5((t or "").encode()).hexdigest(), i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
-    total, sums, first, at, out, slots = sum(k[2] for k in keyed), defaultdict(int), {}, 0, {}, defaultdict(int)
-    for h, _, s, _ in keyed:
-        sums[h] += s
-    for h, i, s, c in keyed:
-        first.setdefault(h, at)
-        twice = 2 * first[h] + sums[h] if sums[h] * shards * WHOLE_GROUP <= total else 2 * at + s
-        shard = min(shards - 1, twice * shards // (2 * total))
-        out[i] = (s, c, shard, slots[shard])
-        slots[shard] += 1
-        at += s
-    return out
+def check_shards(rows, got, shards):
+    """Whole groups of equal texts, near-equal bytes, gapless slots; every row once."""
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(i), size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    texts, slots, load = defaultdict(list), defaultdict(list), [0] * shards
+    for i, t in rows:
+        texts[zlib.crc32((t or "").encode()), size(t)].append(t or "")
+    assert all(len(set(g)) == 1 for g in texts.values())  # the checksums tell the texts of these tests apart
+    of = defaultdict(set)
+    for r in got:
+        of[r.text_crc32, r["size"]].add(r.shard)
+        slots[r.shard].append(r.slot)
+        load[r.shard] += r["size"]
+    share = sum(load) / shards
+    whole = [len(g) * k[1] for k, g in texts.items() if len(g) * k[1] <= share]
+    for k, g in texts.items():
+        if len(g) * k[1] <= share:
+            assert len(of[k]) == 1
+        elif len(g) > 1:
+            assert len(of[k]) <= -(-len(g) * k[1] // int(share)) + 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return load, share, max(whole, default=0)
 
 
 def test_sharding(spark):
-    from graphlake.llm.sharding import assign_shards
+    from graphlake.llm.sharding import LARGE, assign_shards
 
     rng = random.Random(2)
     rows = corpus(groups=60) + [(10_000 + i, "the same text") for i in range(900)] + [(20_000 + i, text(rng, 20)) for i in range(900)]
-    got = assign_shards(frame(spark, rows), 24).collect()
-    assert {r.doc_id: (r["size"], r.text_crc32, r.shard, r.slot) for r in got} == brute_shards(rows, 24)
+    got = assign_shards(frame(spark, rows).repartition(3), 24).collect()
+    load, share, _ = check_shards(rows, got, 24)
+    assert max(load) - min(load) <= 2 * share / LARGE + 8 * 130
     assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
 
 
+def test_sharding_of_hot_rows(spark, monkeypatch):
+    """A third of all rows are one row repeated, groups of every size; ranges bounded by rows."""
+    from graphlake.llm import sharding
+
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    rng = random.Random(3)
+    rows = [(7, "hot row " * 3)] * 1500 + [(None, None)] * 300 + [(i, text(rng, 1 + i % 40)) for i in range(2000)]
+    rows += [(5000 + g * 100 + i, "group %d " % g * 9) for g in range(30) for i in range(rng.randint(2, 60))] + [(9000, "long " * 20_000), (9001, "long " * 20_000)]
+    load, share, _ = check_shards(rows, sharding.assign_shards(frame(spark, rows).repartition(5), 6).collect(), 6)
+    assert max(load) - min(load) <= 100_008  # one of the two long rows
+    assert len(sharding.assign_shards(frame(spark, rows[:1]), 6).collect()) == 1
+
+
+def test_shares_of_a_line():
+    """The dealt groups and the line fill the shards to one level."""
+    from graphlake.llm.sharding import deal
+
+    pieces, places = deal([("a", 450), ("b", 90), ("c", 60)], 1000, 5)
+    load = [0] * 5
+    for h, size in (("a", 450), ("b", 90), ("c", 60)):
+        left = size
+        for s in pieces[h]:
+            load[s] += min(left, 200)
+            left -= 200
+    for lo, hi, s in zip([0, *places], [*places, 400], range(5)):
+        load[s] += hi - lo
+    assert len(pieces["a"]) == 3 and len(pieces["b"]) == 1 and all(abs(x - 200) <= 1 for x in load)
+    assert deal([], 0, 3) == ({}, [0, 0])
+
+
 def test_exact_dedup(spark):
     from graphlake.llm.exact_dedup import exact_duplicates
 
@@ -150,23 +188,24 @@ def test_exact_dedup(spark):
 
 
 @pytest.mark.parametrize("maps", [1 << 14, 1])
-def test_exact_dedup_beyond_the_broadcast(spark, monkeypatch, maps):
-    """With more pairs than are broadcast, rows that share length and prefix with none still go without a whole hash."""
+def test_exact_dedup_refines(spark, monkeypatch, maps):
+    """Rows that share length and prefix with none go without a whole hash; a crowded bitmap changes no result."""
     from graphlake.llm import exact_dedup
 
     written = {}
-    keep = lambda df, name: written.setdefault(name, exact_dedup_materialize(df, name))
     exact_dedup_materialize = exact_dedup.materialize
+    keep = lambda df, name: written.setdefault(name, exact_dedup_materialize(df, name))
     rng = random.Random(2)
     rows = corpus() + [(1000 + i, text(rng, 30) + "y" * i) for i in range(300)] + [(2000 + i, f"{i % 2000:05d}") for i in range(6000)]
-    plain = sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
+    want = sorted((i, min(g)[1], len(g), min(g)[1] == i) for g in groups.values() for _, i in g)
     monkeypatch.setattr(exact_dedup, "materialize", keep)
-    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(exact_dedup, "MOST_MAPS", maps)
-    assert sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == plain
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == want
     whole = written["hashed"].where("__full is not null").count()
-    must = sum(r[2] > 1 for r in plain)
-    assert must <= whole <= len(rows) - 200
+    assert sum(r[2] > 1 for r in want) <= whole <= len(rows) - 200
 
 
 @pytest.fixture(scope="module")
