@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._bitmap import bitmap, maps_for, marked, place
 from graphlake.llm._scratch import materialize, release
 
 #: Code points of the prefix whose hash the second step compares.
 PREFIX = 64
-#: Bits of a map; of the pairs' bitmap the bits for each pair, and the maps at most (64 MB in all).
-MAP_BITS, BITS_A_PAIR, MOST_MAPS = 1 << 15, 16, 1 << 14
+#: Of the pairs' bitmap the bits for each pair, and the maps at most (64 MB in all).
+BITS_A_PAIR, MOST_MAPS = 16, 1 << 14
 
 
 def normalised(text: Column) -> Column:
@@ -23,20 +24,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _bitmap(places: DataFrame) -> DataFrame:
-    """places (at) -> (__map, __bits), to be broadcast: a map has MAP_BITS bits."""
-    at = places.groupBy(F.floor(F.col("at") / MAP_BITS).cast("int").alias("__map"))
-    return at.agg(F.bitmap_construct_agg(F.pmod("at", F.lit(MAP_BITS))).alias("__bits"))
-
-
-def _marked(rows: DataFrame, at: Column, bitmap: DataFrame) -> DataFrame:
-    """``rows`` with __hit: whether the bit at ``at`` is set."""
-    rows = rows.withColumn("__at", at).withColumn("__map", F.floor(F.col("__at") / MAP_BITS).cast("int")).withColumn("__at", F.pmod("__at", F.lit(MAP_BITS)))
-    byte = F.expr("conv(hex(substring(__bits, cast(__at div 8 + 1 as int), 1)), 16, 10)").cast("long")
-    hit = F.getbit(byte, F.expr("cast(__at & 7 as int)")) == 1
-    return rows.join(F.broadcast(bitmap), "__map", "left").withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__map", "__at", "__bits")
-
-
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, tie_col: str | None = None) -> DataFrame:
     """-> (id_col, keep_id, group_size, kept, *carry), one row per input row; with ``tie_col`` that column as well.
 
@@ -58,17 +45,16 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     length, prefix = F.length(norm).cast("long"), F.xxhash64(F.substring(norm, 1, PREFIX))
 
     first = materialize(docs.select(length.alias("len"), prefix.alias("prefix")), "prefixes")
-    lengths = materialize(_bitmap(first.groupBy(F.col("len").alias("at")).agg(F.count("*").alias("n")).where("n > 1")), "lengths")
-    survivors = _marked(first, F.col("len"), lengths).where("__hit")
+    lengths = materialize(bitmap(first.groupBy(F.col("len").alias("at")).agg(F.count("*").alias("n")).where("n > 1")), "lengths")
+    survivors = marked(first, F.col("len"), lengths).where("__hit")
     pairs = materialize(survivors.groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix"), "pairs")
-    maps = min(MOST_MAPS, max(1, -(-pairs.count() * BITS_A_PAIR // MAP_BITS)))
-    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(maps * MAP_BITS))
-    suspects = materialize(_bitmap(pairs.select(place("len", "prefix").alias("at"))), "suspects")
+    maps = maps_for(pairs.count(), BITS_A_PAIR, MOST_MAPS)
+    suspects = materialize(bitmap(pairs.select(place(maps, "len", "prefix").alias("at"))), "suspects")
     for df in (first, lengths, pairs):
         release(df)
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), length.alias("__len"), prefix.alias("__prefix"), F.length(text).alias("__points"), norm.alias("__norm"), *(c.alias(k) for k, c in carry.items()))
-    rows = _marked(rows, place("__len", "__prefix"), suspects)
+    rows = marked(rows, place(maps, "__len", "__prefix"), suspects)
     hashed = materialize(rows.select("__id", "__points", F.when(F.col("__hit"), F.sha2(F.col("__norm").cast("binary"), 256)).alias("__full"), *carry), "hashed")
     release(suspects)
 

@@ -81,6 +81,32 @@ def test_jaccard_join(spark, frequent, very_frequent):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize(("list_rows", "node_bits"), [(4, 64), (200_000, 4), (8, 5)])
+def test_jaccard_join_of_long_lists_and_shared_names(spark, list_rows, node_bits):
+    """Lists dealt over tasks, and sets whose fingerprints are equal though they aren't."""
+    from graphlake.llm.jaccard_join import near_duplicates
+
+    rows = corpus(seed=8) + [(3000 + i, t) for i, t in corpus(seed=9, groups=3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows).repartition(3), frequent=2, very_frequent=6, list_rows=list_rows, node_bits=node_bits).collect()}
+    assert got == brute_components(rows)
+
+
+def test_fine_sketches_rule_out_no_link():
+    from graphlake.llm import jaccard_join as J
+
+    rng = np.random.default_rng(4)
+    run = J._prune_finely(80, 100)[0]
+    import pyarrow as pa
+
+    for n, far in ((1100, 0.82), (6000, 0.8), (6000, 0.4)):
+        both = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        lone = int(len(both) * (1 / far - 1) / 2)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, lone).astype(np.uint64) * np.uint64(2) + np.uint64(1)])) for _ in range(2))
+        row = [[1], [2], [len(x)], [len(y)], [J._fine_sketch(x)], [J._fine_sketch(y)]]
+        kept = sum(b.num_rows for b in run([pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=list("abcdef"))]))
+        assert kept == (far >= 0.8)
+
+
 def test_signatures_are_complete():
     """Any two sets of similarity 0.8 share a signature, whichever tokens are frequent."""
     from graphlake.llm.jaccard_join import signatures
