@@ -3,12 +3,18 @@
 A task reads documents, maps words to the numbers of the items' words and keeps the runs of such words that
 are long enough to hold a phrase (an occurrence can't contain any other word). When a shard is full it is
 indexed, all phrases are searched at once, the occurrences are located and merged into spans. Nothing is
-shuffled; items come in blocks of a bounded size.
+shuffled and the corpus is read once.
+
+Phrases come in blocks of a bounded number of windows, dealt by Spark; a task has one block at a time and
+searches each shard for one after another. An item longer than a part is cut into overlapping parts, whose windows
+together are the item's.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.llm._arrow import map_batches
+from graphlake.llm._scratch import materialize, release
 from graphlake.llm._text import NOT_ALNUM, string_slices, word_bounds, word_hashes
 from graphlake.llm.fm_index import FMIndex
 
@@ -24,37 +31,38 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHARD = 500_000
 #: Documents whose results a task gathers at most before it indexes a shard that isn't full.
 SHARD_ROWS = 20_000
-#: Bytes of the items' texts that are searched in one pass; more go in several.
-BLOCK_BYTES = 32 << 20
+#: Windows of a block of phrases, about, and of a part of an item at most.
+BLOCK_WINDOWS, PART_WINDOWS = 500_000, 4096
+#: Slots of the filter that knows the words of all blocks, by hash.
+SLOTS = 1 << 22
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 class Phrases:
-    """The windows of a block of items, in symbols."""
+    """The windows of a block of items' parts, in symbols."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, parts: list[tuple[str, str]], width: int):
         vocabulary: dict[str, int] = {}
-        windows: dict[tuple[int, ...], list[int]] = {}
-        self.items: list[str] = []
         numbers: dict[str, int] = {}
-        for item, text in items:
-            words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall(text.translate(_FOLD))]
-            if not words:
+        windows, owners = [], []
+        for item, text in parts:
+            words = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall(text.translate(_FOLD))], np.int32)
+            if not len(words):
                 continue
-            if item not in numbers:
-                numbers[item] = len(self.items)
-                self.items.append(item)
-            for i in range(max(1, len(words) - width + 1)):
-                held = windows.setdefault(tuple(words[i : i + width]), [])
-                if numbers[item] not in held:
-                    held.append(numbers[item])
+            if len(words) < width:  # right-aligned
+                words = np.concatenate([np.zeros(width - len(words), np.int32), words])
+            own = np.lib.stride_tricks.sliding_window_view(words, width)
+            windows.append(own)
+            owners.append(np.full(len(own), numbers.setdefault(item, len(numbers)), np.int64))
+        self.items = list(numbers)
         self.symbols = len(vocabulary) + 1
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.phrases = np.zeros((len(windows), width), np.int64)
-        for i, w in enumerate(windows):
-            self.phrases[i, width - len(w) :] = w
-        self.owners = list(windows.values())
-        self.least = int(self.lengths.min()) if len(windows) else 0
+        every = np.concatenate(windows) if windows else np.zeros((0, width), np.int32)
+        self.phrases, which = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.phrases > 0).sum(axis=1).astype(np.int64)
+        owned = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)], 1), axis=0) if windows else np.zeros((0, 2), np.int64)
+        self.owner = owned[:, 1].astype(np.int32)  # of phrase p: from first_owner[p] to the next one's
+        self.first_owner = np.searchsorted(owned[:, 0], np.arange(len(self.phrases) + 1))
+        self.least = int(self.lengths.min()) if len(self.phrases) else 0
         # the words' hashes, as those of the documents' words
         joined = "\n".join(vocabulary).encode()
         data = np.frombuffer(joined, np.uint8)
@@ -62,162 +70,194 @@ class Phrases:
         h = word_hashes(data, starts, ends)
         order = np.argsort(h)
         self.hashes, self.numbers = h[order], (order + 1).astype(np.int64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def owners(self, phrase: int) -> list[int]:
+        return self.owner[self.first_owner[phrase] : self.first_owner[phrase + 1]].tolist()
 
     def symbols_of(self, h: np.ndarray) -> np.ndarray:
         """The number of each word, 0 for words of no item."""
-        out = np.zeros(len(h), np.int64)
-        hit = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if len(hit) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
-            out[hit] = np.where(self.hashes[at] == h[hit], self.numbers[at], 0)
-        return out
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.numbers[at], 0)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+@dataclass
+class Known:
+    """What a task has of all blocks: the filter of their words, the shortest phrase and the blocks' broadcasts."""
+
+    maybe: np.ndarray
+    least: int
+    blocks: list
+
+    def phrases(self) -> Iterator[Phrases]:
+        """One block after another; a worker lets go of each before the next, unless it is the only one."""
+        for b in self.blocks:
+            yield b.value
+            if len(self.blocks) > 1:
+                b.__dict__.pop("_value", None)
 
 
 SPAN = pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64()), ("from_char", pa.int64()), ("to_char", pa.int64())]))
-RESULT = "id long, uid long, n_words long, spans array<struct<from_word:long,to_word:long,from_char:long,to_char:long>>, items array<string>"
+RESULT = "id long, n_words long, spans array<struct<from_word:long,to_word:long,from_char:long,to_char:long>>, items array<string>"
 
 
-def merge_spans(spans: list[dict]) -> list[dict]:
-    """Overlapping or touching spans as one."""
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["from_word"], s["to_word"])):
-        if out and s["from_word"] <= out[-1]["to_word"]:
-            if s["to_word"] > out[-1]["to_word"]:
-                out[-1] = out[-1] | {"to_word": s["to_word"], "to_char": s["to_char"]}
+def merge_spans(spans: list[tuple[int, int, int, int]]) -> list[dict]:
+    """Overlapping or touching spans (words from and to, characters from and to) as one."""
+    out: list[list[int]] = []
+    for w0, w1, c0, c1 in sorted(spans):
+        if out and w0 <= out[-1][1]:
+            if w1 > out[-1][1]:
+                out[-1][1], out[-1][3] = w1, c1
         else:
-            out.append(dict(s))
-    return out
+            out.append([w0, w1, c0, c1])
+    return [dict(zip(("from_word", "to_word", "from_char", "to_char"), x)) for x in out]
+
+
+def _runs(on: np.ndarray, breaks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions in runs of ``on`` of at least so many, and where a run ends. breaks: no run crosses these."""
+    change = np.empty(len(on) + 1, bool)
+    change[0] = change[-1] = True
+    change[1:-1] = on[1:] != on[:-1]
+    change[breaks] = True
+    edges = np.flatnonzero(change)
+    length = np.diff(edges)
+    good = on[edges[:-1]] & (length >= least) if len(on) else np.zeros(0, bool)
+    lo, n = edges[:-1][good], length[good]
+    total = np.cumsum(n)
+    index = np.repeat(lo - (total - n), n) + np.arange(total[-1] if len(total) else 0)
+    last = np.zeros(len(index), bool)
+    last[total - 1] = True
+    return index, last
 
 
 class _Shard:
     """The runs of one shard and the documents they are from."""
 
-    def __init__(self, known: Phrases):
+    def __init__(self, known: Known):
         self.known = known
         self.ids: list = []
-        self.uids: list = []
         self.n_words: list[np.ndarray] = []
-        self.kept: list[tuple[np.ndarray, ...]] = []  # symbol, document, word, first and last character, run's end
+        self.kept: list[tuple[np.ndarray, ...]] = []  # hash, document, word, first and last character, run's end
         self.size = self.rows = 0
 
-    def add(self, ids: pa.Array, uids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         starts, ends, at = word_bounds(data, offsets, NOT_ALNUM)
-        counts = np.diff(at)
         known = self.known
-        symbol = known.symbols_of(word_hashes(data, starts, ends)) if known.least else np.zeros(len(starts), np.int64)
-        # runs of the items' words within a document
-        on = symbol > 0
-        change = np.empty(len(on) + 1, bool)
-        change[0] = change[-1] = True
-        change[1:-1] = on[1:] != on[:-1]
-        change[at] = True
-        edges = np.flatnonzero(change)
-        length = np.diff(edges)
-        good = on[edges[:-1]] & (length >= known.least) if len(on) else np.zeros(0, bool)
-        if good.any():
-            lo, n = edges[:-1][good], length[good]
-            total = np.cumsum(n)
-            index = np.repeat(lo - (total - n), n) + np.arange(total[-1])
-            doc = np.searchsorted(at, index, "right") - 1
-            last = np.zeros(len(index), bool)
-            last[total - 1] = True
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            base = chars[offsets[doc]]
-            self.kept.append((symbol[index], doc + self.rows, index - at[doc], chars[starts[index]] - base, chars[ends[index]] - base, last))
-            self.size += len(index)
+        if known.least and len(starts):
+            h = word_hashes(data, starts, ends)
+            index, last = _runs(known.maybe[_slots(h)], at, known.least)
+            if len(index):
+                doc = np.searchsorted(at, index, "right") - 1
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                base = chars[offsets[doc]]
+                self.kept.append((h[index], doc + self.rows, index - at[doc], chars[starts[index]] - base, chars[ends[index]] - base, last))
+                self.size += len(index)
         self.ids.append(ids)
-        self.uids.append(uids)
-        self.n_words.append(counts)
-        self.rows += len(counts)
+        self.n_words.append(np.diff(at))
+        self.rows += len(offsets) - 1
 
     def solve(self) -> pa.RecordBatch:
-        spans: list[list[dict]] = [[] for _ in range(self.rows)]
-        items: list[list[str]] = [[] for _ in range(self.rows)]
+        spans: dict[int, list[tuple[int, int, int, int]]] = {}
+        items: dict[int, set[str]] = {}
         if self.kept:
-            symbol, doc, word, lo_char, hi_char, last = (np.concatenate(c) for c in zip(*self.kept))
-            place = np.arange(len(symbol)) + np.cumsum(last) - last  # a 0 after each run
-            text = np.zeros(len(symbol) + int(last.sum()), np.int64)
-            text[place] = symbol
-            back = np.zeros(len(text), np.int64)
-            back[place] = np.arange(len(symbol))
-            index = FMIndex(text, self.known.symbols)
-            lo, hi = index.search(self.known.phrases, self.known.lengths)
-            found = np.flatnonzero(hi > lo)
-            if len(found):
+            h, doc, word, lo_char, hi_char, last = (np.concatenate(c) for c in zip(*self.kept))
+            breaks = np.flatnonzero(last) + 1
+            for known in self.known.phrases():
+                symbol = known.symbols_of(h)
+                index, ends = _runs(symbol > 0, breaks, known.least)
+                if not len(index):
+                    continue
+                place = np.arange(len(index)) + np.cumsum(ends) - ends  # a 0 after each run
+                text = np.zeros(len(index) + int(ends.sum()), np.int64)
+                text[place] = symbol[index]
+                back = np.zeros(len(text), np.int64)
+                back[place] = index
+                fm = FMIndex(text, known.symbols)
+                lo, hi = fm.search(known.phrases, known.lengths)
+                found = np.flatnonzero(hi > lo)
+                if not len(found):
+                    continue
                 n = (hi - lo)[found]
                 total = np.cumsum(n)
                 rows = np.repeat(lo[found] - (total - n), n) + np.arange(total[-1])
                 phrase = np.repeat(found, n)
-                begin = back[index.locate(rows)]
-                end = begin + self.known.lengths[phrase] - 1
-                order = np.lexsort((begin, doc[begin]))
-                names: list[set[int]] = [set() for _ in range(self.rows)]
+                begin = back[fm.locate(rows)]
+                end = begin + known.lengths[phrase] - 1
                 for d, p in np.unique(np.stack([doc[begin], phrase], 1), axis=0).tolist():
-                    names[d].update(self.known.owners[p])
-                for b, e in zip(begin[order].tolist(), end[order].tolist()):
-                    own = spans[doc[b]]
-                    if own and word[b] <= own[-1]["to_word"]:
-                        if word[e] + 1 > own[-1]["to_word"]:
-                            own[-1] |= {"to_word": int(word[e]) + 1, "to_char": int(hi_char[e])}
-                    else:
-                        own.append({"from_word": int(word[b]), "to_word": int(word[e]) + 1, "from_char": int(lo_char[b]), "to_char": int(hi_char[e])})
-                items = [sorted(self.known.items[i] for i in x) for x in names]
-        ids, uids = (pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in x]) for x in (self.ids, self.uids))
-        cols = [ids, uids, pa.array(np.concatenate(self.n_words)), pa.array(spans, SPAN), pa.array(items, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "uid", "n_words", "spans", "items"])
-
-
-def _finder(phrases_b):
+                    items.setdefault(d, set()).update(known.items[i] for i in known.owners(p))
+                for d, *span in np.unique(np.stack([doc[begin], word[begin], word[end] + 1, lo_char[begin], hi_char[end]], 1), axis=0).tolist():
+                    spans.setdefault(d, []).append(tuple(span))
+        ids = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in self.ids])
+        cols = [ids, pa.array(np.concatenate(self.n_words)), pa.array([merge_spans(spans.get(d, [])) for d in range(self.rows)], SPAN), pa.array([sorted(items.get(d, ())) for d in range(self.rows)], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "spans", "items"])
+
+
+def _finder(maybe_b, least: int, blocks: list):
     def run(batches):
-        shard = _Shard(phrases_b.value)
+        known = Known(maybe_b.value, least, blocks)
+        shard = _Shard(known)
         for batch in batches:
-            for lo, hi, data, offsets in string_slices(batch.column(2)):
-                shard.add(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), data, offsets)
+            for lo, hi, data, offsets in string_slices(batch.column(1)):
+                shard.add(batch.column(0).slice(lo, hi - lo), data, offsets)
                 if shard.size >= SHARD or shard.rows >= SHARD_ROWS:
                     yield shard.solve()
-                    shard = _Shard(phrases_b.value)
+                    shard = _Shard(known)
         if shard.rows:
             yield shard.solve()
 
     return run
 
 
-def _merge(batches):
-    for batch in batches:
-        spans = [merge_spans(x) for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, SPAN), batch.column(4)], names=batch.schema.names)
+def _parter(width: int, windows: int):
+    """(item, text) -> (item, words of a part, its windows)"""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = WORD.findall(text.translate(_FOLD))
+                for lo in range(0, max(1, len(words) - width + 1) if words else 0, windows):
+                    part = words[lo : lo + windows + width - 1]
+                    rows.append((item, " ".join(part), max(1, len(part) - width + 1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["i", "t", "n"])
+
+    return run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """-> (id_col, n_words, spans, items), one row per document.
 
     Words are those of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lower-cased. A window is ``width``
     consecutive words of an item; an item of fewer, but not none, is one window. spans: the words, and the
     characters, that occurrences cover, merged; items: the ids of the items with a window that occurs, as
-    sorted strings.
+    sorted strings. ``block_windows`` bounds what the driver and a task hold of the items.
 
     Defined cases: a null or empty text has no words and no spans; a null or wordless item has no windows; a
     null item id is the empty string; items of one id count once; a null document id and repeated rows keep a
-    row each; texts count whole; empty tables give empty results or none found; other columns are not read.
+    row each; texts and items of any length count whole; empty tables give empty results or none found; other
+    columns are not read.
     """
     spark = docs.sparkSession
     given = items.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
-    size = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    parts = []
+    parts = materialize(map_batches(given, _parter(width, min(PART_WINDOWS, block_windows)), "i string, t string, n long").dropDuplicates(), "phrases")
+    blocks = max(1, -(-(parts.agg(F.sum("n")).first()[0] or 0) // block_windows))
+    maybe, least, held = np.zeros(SLOTS, bool), 0, []
     for b in range(blocks):
-        rows = given.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()
-        known = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], width))
-        parts.append(map_batches(src, _finder(known), RESULT))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        out = out.groupBy("id", "uid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = map_batches(out, _merge, RESULT)
+        rows = parts.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).select("i", "t").collect()
+        phrases = Phrases([(r.i, r.t) for r in rows], width)
+        if phrases.least:
+            maybe[_slots(phrases.hashes)] = True
+            least = min(least or width, phrases.least)
+            held.append(spark.sparkContext.broadcast(phrases))
+    release(parts)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = map_batches(src, _finder(spark.sparkContext.broadcast(maybe), least, held), RESULT)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 

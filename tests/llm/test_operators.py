@@ -326,9 +326,10 @@ def test_decontamination(spark, monkeypatch, blocks):
         docs[d] = (d, " ".join(w[:at] + [x.upper() + "," for x in item[lo : lo + rng.randint(9, 25)]] + w[at:]))
     docs += [(100, items[0][1]), (101, items[53 - 38][1] + " " + items[0][1] + " é" + items[0][1]), (102, "a SOLO, phrase"), (103, None), (104, ""), (105, "solo"), (106, " ".join([items[1][1]] * 3))]
     monkeypatch.setattr(D, "SHARD", 300)
-    if blocks > 1:
-        monkeypatch.setattr(D, "BLOCK_BYTES", sum(len(t or "") for _, t in items) // blocks)
-    found = D.find_contamination(frame(spark, docs), frame(spark, items, "item_id long, text string"))
+    items += [(60, text(rng, 90)), (61, items[0][1])]
+    docs += [(200, " ".join(items[-2][1].split()[50:75])), (201, items[-2][1])]
+    windows = {"block_windows": 40} if blocks > 1 else {}
+    found = D.find_contamination(frame(spark, docs), frame(spark, items, "item_id long, text string"), **windows)
     got = {r.doc_id: r for r in found.withColumn("n_hit", D.words_hit(found.spans)).collect()}
     assert {d: (r.n_words, r.n_hit, r["items"]) for d, r in got.items()} == brute_contamination(docs, items)
     clean = dict(found.join(frame(spark, docs), "doc_id").select("doc_id", D.remove_spans(F.col("text"), F.col("spans"))).collect())
