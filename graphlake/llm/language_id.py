@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from graphlake.llm._arrow import map_batches
 from graphlake.llm._ngrams import LETTERS, drawn, held_out, ngram_buckets
+from graphlake.llm._scratch import materialize
 from graphlake.llm._text import string_slices
 
 SIZES, BITS, DIM = (2, 3, 4), 16, 16
-#: The bound of the training sample: rows a language, and languages (the most frequent ones).
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 400, 256
+#: The bound of the training sample: rows a language, and in all. Every language is learned until there are more
+#: languages than rows in all; then as many of them, by hash.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS = 400, 100_000
 #: Characters of text that are collected for training at most, over all languages.
 MAX_CHARS = 40_000_000
 #: Of right answers on the calibration rows, the share that rejection may lose; and its highest threshold.
@@ -31,10 +33,12 @@ UNSEEN = 1e-4
 
 @dataclass
 class LanguageModel:
-    """The product of embeddings and softmax weights by bucket, so that a text's logits are a mean of rows."""
+    """A text's logits are the mean of its n-grams' embeddings times the softmax weights. Where there are fewer
+    languages than dimensions, the embeddings are kept as that product."""
 
     languages: list[str]
-    table: np.ndarray  # buckets x languages
+    rows: np.ndarray  # by bucket: embeddings, or their products with the weights
+    weights: np.ndarray | None  # dimensions x languages, or None where the rows have them in
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -44,7 +48,7 @@ class LanguageModel:
 
     def measure(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By text of the slice the logits, and its typicality: the mean of ``seen``; n-grams don't cross texts."""
-        columns = [*self.table.T, self.seen]
+        columns = [*self.rows.T, self.seen]
         total, count = np.zeros((len(offsets) - 1, len(columns))), np.zeros(len(offsets) - 1)
         for n, buckets in zip(SIZES, ngram_buckets(data, LETTERS, SIZES, BITS)):
             lo = offsets[:-1]
@@ -55,7 +59,10 @@ class LanguageModel:
                 sums = np.concatenate([[0.0], np.cumsum(column[buckets], dtype=np.float64)])
                 total[:, c] += sums[hi] - sums[lo]
         mean = total / np.maximum(count, 1)[:, None]
-        return mean[:, :-1] + self.bias, mean[:, -1]
+        return self.logits(mean[:, :-1]), mean[:, -1]
+
+    def logits(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.weights is None else mean @ self.weights) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         return _softmax(logits / self.temperature)
@@ -86,7 +93,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: list[str], languages: list[str], *, epochs: int = 4, rate: float = 0.5, seed: int = 0) -> LanguageModel:
     """Fit on the rows given; a fifth of them serve for temperature and rejection only."""
     names = sorted(set(languages))
-    y = np.array([names.index(x) for x in languages])
+    number = {x: i for i, x in enumerate(names)}
+    y = np.array([number[x] for x in languages])
     docs = []
     for t in texts:
         x = np.concatenate(ngram_buckets(np.frombuffer(t.encode("utf-8", "ignore"), np.uint8), LETTERS, SIZES, BITS))
@@ -118,9 +126,10 @@ def train(texts: list[str], languages: list[str], *, epochs: int = 4, rate: floa
         for i in own:
             n[docs[i][0]] += 1
         seen = np.maximum(seen, n / max(1, len(own)))
-    model = LanguageModel(names, (emb @ out).astype(np.float32), bias, 1.0, 0.0, np.log(seen).astype(np.float32), np.full(len(names), -np.inf), np.zeros((0, 3)))
+    few = len(names) <= DIM
+    model = LanguageModel(names, (emb @ out).astype(np.float32) if few else emb, None if few else out, bias, 1.0, 0.0, np.log(seen).astype(np.float32), np.full(len(names), -np.inf), np.zeros((0, 3)))
     if len(check):
-        logits = np.array([share @ model.table[ids] for ids, share in (docs[i] for i in check)]) + bias
+        logits = model.logits(np.array([share @ model.rows[ids] for ids, share in (docs[i] for i in check)]))
         scale = np.geomspace(0.05, 5, 60)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in scale]
         model.temperature = float(scale[int(np.argmin(loss))])
@@ -133,15 +142,27 @@ def train(texts: list[str], languages: list[str], *, epochs: int = 4, rate: floa
 
 
 def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Learn from a bounded sample of rows with a language that aren't held out; None where there are none."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = sorted(known.groupBy(lang_col).agg(F.count("*"), F.sum(F.length(text_col))).orderBy(F.desc("count(1)"), lang_col).limit(MAX_LANGUAGES).collect(), key=lambda r: r[0])
-    if not counts:
+    """Learn from a bounded sample of rows with a language that aren't held out; None where there are none.
+
+    Defined cases: rows without id, text or language are not learned from; rows of one id and language count once,
+    by the least of their texts; languages of any number are learned (SAMPLE_ROWS bounds the rows); other columns,
+    whatever their names, are not read; an empty table gives None.
+    """
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))).withColumn("of", F.xxhash64("lang"))
+    counts = materialize(known.groupBy("of").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "languages")
+    languages, total, chars = counts.agg(F.count("*"), F.sum("n"), F.sum("chars")).first()
+    if not languages:
         return None
-    mean = sum(r[2] for r in counts) / sum(r[1] for r in counts)
-    each = max(20, min(ROWS_PER_LANGUAGE, int(MAX_CHARS / max(1.0, mean) / len(counts))))
-    rate = F.coalesce(*[F.when(F.col(lang_col) == r[0], F.lit(1.5 * each / r[1])) for r in counts], F.lit(0.0))
-    rows = known.where(drawn(F.col(id_col), rate)).select(F.col(text_col), F.col(lang_col), F.xxhash64(F.col(id_col).cast("string")).alias("h")).collect()
+    if languages > SAMPLE_ROWS:
+        counts = counts.where(drawn(F.col("of"), F.lit(SAMPLE_ROWS / languages)))
+    each = max(1, min(ROWS_PER_LANGUAGE, SAMPLE_ROWS // languages, max(20, int(MAX_CHARS / max(1.0, chars / total) / languages))))
+    aside_each = min(CALIBRATION_ROWS, CALIBRATION_TOTAL // languages)
+    # hashes and counts of SAMPLE_ROWS languages at most
+    known = known.join(F.broadcast(counts.select("of", "n")), "of")
+    rate, more = F.lit(1.5 * each) / F.col("n"), F.lit(float(aside_each)) / F.col("n")
+    rows = known.where(drawn(F.col("id"), rate)).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("h")).collect()
     taken: dict[str, int] = {}
     texts, langs = [], []
     for text, lang, _ in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
@@ -153,29 +174,28 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return None
     model = train(texts, langs)
     # the fifth is too small for the quantile: rows next to the sample are scored where they lie
-    aside_each = min(CALIBRATION_ROWS, CALIBRATION_TOTAL // len(counts))
-    more = F.coalesce(*[F.when(F.col(lang_col) == r[0], F.lit(aside_each / r[1])) for r in counts], F.lit(0.0))
-    aside = known.where(drawn(F.col(id_col), rate + more) & ~drawn(F.col(id_col), rate) & F.col(lang_col).isin(model.languages))
-    aside = aside.select(F.col(lang_col), F.col(text_col).rlike("\\p{L}"), F.col(text_col))
-    scored = map_batches(aside, _calibrator(docs.sparkSession.sparkContext.broadcast(model)), "best long, score double, typical double").toArrow()
+    aside = known.where(drawn(F.col("id"), rate + more) & ~drawn(F.col("id"), rate))
+    aside = aside.select(F.xxhash64(F.col("id").cast("string"), "of").alias("row"), "lang", F.col("text").rlike("\\p{L}").alias("lettered"), "text")
+    scored = map_batches(aside, _calibrator(docs.sparkSession.sparkContext.broadcast(model)), "row long, best long, score double, typical double")
+    scored = scored.groupBy("row").agg(F.min(F.struct("best", "score", "typical")).alias("r")).select("r.*").toArrow()
     model.calibrate(np.concatenate([model.right, np.stack([c.to_numpy().astype(np.float64) for c in scored.columns], 1)]))
     return model
 
 
 def _calibrator(model_b):
-    """(language, whether there is a letter, text) -> the right answers' language, score and typicality."""
+    """(row, language, whether there is a letter, text) -> the right answers' row, language, score and typicality."""
 
     def run(batches):
         model = model_b.value
         names = np.array(model.languages, object)
         for batch in batches:
-            lang, lettered = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for lo, hi, data, offsets in string_slices(batch.column(2)):
+            lang, lettered = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            for lo, hi, data, offsets in string_slices(batch.column(3)):
                 logits, typical = model.measure(data, offsets)
                 p = model.probabilities(logits)
                 best = p.argmax(axis=1)
                 ok = (names[best] == lang[lo:hi]) & lettered[lo:hi].astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(best[ok]), pa.array(p.max(axis=1)[ok]), pa.array(typical[ok])], names=["best", "score", "typical"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(ok)), pa.array(best[ok]), pa.array(p.max(axis=1)[ok]), pa.array(typical[ok])], names=["row", "best", "score", "typical"])
 
     return run
 
