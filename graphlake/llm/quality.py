@@ -118,16 +118,26 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    """Learn from a bounded, balanced sample of labelled rows that aren't held out; None without both classes."""
-    marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    total = {r[0]: r[1] for r in marks.groupBy("__label").count().collect()}
+    """Learn from a bounded, balanced sample of labelled rows that aren't held out; None without both classes.
+
+    Defined cases: labels other than 0 and 1 and labels without an id are ignored; a document labelled both ways
+    isn't learned from, one labelled twice alike counts once; labels without a document, and documents whose text
+    is null, are not learned from; of several texts of one id the least counts; other columns, whatever their
+    names, are not read; empty tables give None.
+    """
+    marks = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("of")))
+    marks = marks.groupBy("of").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    total = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     if len(total) < 2:
         return None
-    mean = docs.agg(F.avg(F.length(text_col))).first()[0] or 1.0
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    mean = texts.agg(F.avg(F.length("text"))).first()[0] or 1.0
     each = max(50, min(ROWS_PER_CLASS, int(MAX_CHARS / mean / 2)))
-    rate = F.when(F.col("__label") == 1, F.lit(1.5 * each / total[1])).otherwise(F.lit(1.5 * each / total[0]))
-    chosen = marks.where(drawn(F.col("__id"), rate))
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col), "__label", F.xxhash64(F.col("__id").cast("string")).alias("h")).collect()
+    rate = F.when(F.col("label") == 1, F.lit(1.5 * each / total[1])).otherwise(F.lit(1.5 * each / total[0]))
+    chosen = marks.where(drawn(F.col("of"), rate))
+    # one text an id, however often its row is repeated
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("of")).groupBy("of", "label").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "label", F.xxhash64(F.col("of").cast("string")).alias("h")).collect()
     texts, ys, taken = [], [], {0: 0, 1: 0}
     for text, label, _ in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
         if taken[label] < each:
