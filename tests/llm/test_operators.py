@@ -469,15 +469,75 @@ def test_warc_round_trip(spark, least):
 
 
 def test_arc_versions_and_errors():
-    from graphlake.llm.warc import ARC_FIELDS, _arc_section, arc_records, warc_date, warc_records
+    import gzip
+
+    from graphlake.llm.warc import ARC_FIELDS, arc_header, arc_record, arc_records, opened, split_http, warc_date, warc_records
 
     for version in ARC_FIELDS:
-        records = list(arc_records(_arc_section([("http://a", b"one\ntwo"), ("http://b", b"")], version, "n.arc") + b"\n"))
-        assert [(f["URL"], b) for f, b in records[1:]] == [("http://a", b"one\ntwo"), ("http://b", b"")]
+        bodies = [("http://a", b"one\ntwo"), ("http://b", b""), ("http://c", bytes(range(256)))]
+        whole = b"\n".join([arc_header(version, "n.arc"), *(arc_record(version, "n.arc", u, "text/html", b) for u, b in bodies)]) + b"\n"
+        for data in (whole, gzip.compress(whole), b"".join(gzip.compress(whole[i : i + 50]) for i in range(0, len(whole), 50))):
+            records = list(arc_records(data))
+            assert [(f["URL"], b) for f, b in records[1:]] == bodies
+        with pytest.raises((ValueError, EOFError)):
+            list(arc_records(gzip.compress(whole)[:-20]))
+    assert opened(b"").read() == b"" and split_http(b"HTTP/1.0 200\nA: b\n\nx\r\n\r\ny") == (b"HTTP/1.0 200\nA: b\n\n", b"x\r\n\r\ny") and split_http(b"HTTP/1.0") == (b"HTTP/1.0", b"")
     assert warc_date("20240102") == "2024-01-02T00:00:00Z" and warc_date("-") == "0000-01-01T00:00:00Z"
     for broken in (b"http://a 0 0 t 3\nabc", b"filedesc://x 0.0.0.0 1 text/plain 99\n1 0 x\n", b"filedesc://x 0 1 t 4\n9 0 \n", b"no end"):
         with pytest.raises(ValueError):
             list(arc_records(broken))
-    for broken in (b"HTTP/1.1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"):
+    for broken in (b"HTTP/1.1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\n\r\n"):
         with pytest.raises(ValueError):
             list(warc_records(broken))
+
+
+def test_legacy_arc_becomes_warc(spark, tmp_path):
+    """Pages that aren't UTF-8, images, bare line ends, other protocols: bytes and digests survive."""
+    import gzip
+
+    from graphlake.llm.warc import arc_header, arc_record, convert_arc, read_arc, read_warc, warc_records
+
+    latin, image = "<p>r\u00e9sum\u00e9 \u00df</p>".encode("latin-1"), bytes(range(256)) * 300
+    payloads = {
+        "http://a/latin": b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + latin,
+        "http://b/image": b"HTTP/1.0 200 OK\nContent-Type: image/gif\n\n" + image,
+        "http://c/again": b"HTTP/1.0 200 OK\r\nX-Page-Id: 5\r\n\r\n" + latin,
+        "dns:d": b"20240101\nd. 1 IN A 1.2.3.4\n",
+        "http://e/headless": b"HTTP/1.0 204 No Content\r\n",
+    }
+    want = {"http://a/latin": latin, "http://b/image": image, "http://c/again": latin, "dns:d": payloads["dns:d"], "http://e/headless": b""}
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc").write_bytes(b"\n".join([arc_header("1", "old.arc"), *(arc_record("1", "old.arc", u, "text/html", b) for u, b in payloads.items())]) + b"\n\n")
+    (tmp_path / "arc" / "two.arc.gz").write_bytes(b"".join(gzip.compress(x + b"\n") for x in (arc_header("2", "two.arc"), arc_record("2", "two.arc", "http://f/", "image/png", payloads["http://b/image"]))))
+    arc, warc = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    convert_arc(spark, arc, warc)
+    got = {r.uri: r for r in read_warc(spark, warc).collect()}
+    want["http://f/"] = image
+    digest_of = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert {u: (r.payload_bytes, r.payload_digest) for u, r in got.items()} == {u: (len(b), digest_of(b)) for u, b in want.items()}
+    assert {u: r.record_type for u, r in got.items()} == {u: "revisit" if u == "http://a/latin" else "resource" if u == "dns:d" else "response" for u in want}
+    assert got["http://a/latin"].refers_to == 5 and got["http://a/latin"].refers_to_record == got["http://c/again"].record_id
+    assert {r.uri: bytes(r.payload) for r in read_arc(spark, arc).where("kind <> 'warcinfo'").collect()} == want
+    files = [p.read_bytes() for p in (tmp_path / "warc").iterdir() if p.name.startswith("part") and p.stat().st_size]
+    blocks = {f.get("warc-target-uri"): b for data in files for f, b in warc_records(data)}
+    assert all(blocks[u] == payloads[u] for u in payloads if u != "http://a/latin")
+
+
+def test_warc_files_are_bounded_and_members_their_records():
+    """A file ends at its bytes; each record is one gzip member, also where a record is over 16 MB."""
+    import zlib as z
+
+    from graphlake.llm import warc
+
+    rng = np.random.default_rng(3)
+    records = [rng.bytes(9 << 20) for _ in range(8)] + [rng.bytes(17 << 20)] + [b"x"]
+    files = [b.column(0)[0].as_py() + b"\0" for b in warc._files(iter(records))]
+    assert len(files) >= 3 and all(len(f) < warc.FILE_BYTES + (18 << 20) for f in files)
+    out = []
+    for data in files:
+        while data:
+            d = z.decompressobj(31)
+            out.append(d.decompress(data))
+            assert d.eof
+            data = d.unused_data
+    assert [x for x in out if x] == records
