@@ -17,6 +17,8 @@ from graphlake.llm._scratch import materialize, release
 PREFIX = 64
 #: Of the pairs' bitmap the bits for each pair, and the maps at most (64 MB in all).
 BITS_A_PAIR, MOST_MAPS = 16, 1 << 14
+#: Groups of more rows than this, and than this part of all, are broadcast to their rows: at most so many groups.
+HOT_ROWS, HOT_GROUPS = 1000, 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -60,9 +62,14 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     tie = F.col(tie_col) if tie_col else F.lit(None).cast("long")
     best = F.min(F.struct(-F.col("__points"), F.col("__id").isNull(), F.col("__id").alias("id"), tie.alias("tie")))
-    groups = hashed.where("__full is not null").groupBy(F.col("__full").alias("__of")).agg(best["id"].alias("__keep"), best["tie"].alias("__tie"), F.count("*").alias("__size"))
+    some = hashed.where("__full is not null")
+    groups = materialize(some.groupBy(F.col("__full").alias("__of")).agg(best["id"].alias("__keep"), best["tie"].alias("__tie"), F.count("*").alias("__size")), "groups")
+    large = groups.where(F.col("__size") > max(HOT_ROWS, some.count() // HOT_GROUPS))
+    same = F.col("__full") == F.col("__of")
+    # a large group's rows stay where they are; those of the others meet their group by a shuffle
+    out = some.join(F.broadcast(large), same)
+    out = out.unionAll(some.join(F.broadcast(large.select("__of")), same, "left_anti").join(groups.join(F.broadcast(large.select("__of")), "__of", "left_anti"), same).select(*out.columns))
     # rows without a hash stand alone; in the join their nulls would meet in one task
     alone = hashed.where("__full is null").select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *carry)
-    out = hashed.where("__full is not null").join(groups, F.col("__full") == F.col("__of"))
     kept = F.col("__tie") == F.col(tie_col) if tie_col else F.col("__keep").eqNullSafe(F.col("__id"))
     return alone.unionAll(out.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), kept.alias("kept"), *carry))

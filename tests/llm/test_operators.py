@@ -229,6 +229,7 @@ def test_exact_dedup_refines(spark, monkeypatch, maps):
     want = sorted((i, min(g)[1], len(g), min(g)[1] == i) for g in groups.values() for _, i in g)
     monkeypatch.setattr(exact_dedup, "materialize", keep)
     monkeypatch.setattr(exact_dedup, "MOST_MAPS", maps)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
     assert sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == want
     whole = written["hashed"].where("__full is not null").count()
     assert sum(r[2] > 1 for r in want) <= whole <= len(rows) - 200
