@@ -57,9 +57,10 @@ def drop_boilerplate(
     few = (marks.agg(F.sum(F.size("marked"))).first()[0] or 0) <= BROADCAST_ROWS
     out = _with_site(src, marks, F.xxhash64("__id", "__text"), few, totals)
 
-    # marks that the page has, by hash sets; few of them, mostly
+    # marks that the page has, by hash sets; few of them, mostly. The outer lambda has them found once a page
     marked = F.array_intersect(F.array_compact(hashes), F.coalesce("marked", F.array().cast("array<bigint>")))
-    keep = F.filter(F.arrays_zip(lines.alias("text"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(marked, x["h"]))
+    every = F.arrays_zip(lines.alias("text"), hashes.alias("h"))
+    keep = F.transform(F.array(marked), lambda own: F.filter(every, lambda x: x["h"].isNull() | ~F.array_contains(own, x["h"])))[0]
     out = out.select("__id", "__site", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("__text").isNotNull(), keep).alias("kept"))
     return out.select(
         F.col("__id").alias(id_col),
