@@ -22,6 +22,8 @@ from graphlake.sources.store import ConcurrentWrite, Snapshot, TableStore
 from graphlake.values import UNSET, given
 
 DIALECT = "spark"
+#: Held while a client's tables stand for the session's views.
+_VIEWS = threading.RLock()
 LAZY = {"findMany", "findFirst", "findOne", "findUnique", "count", "exists", "paginate", "cursor"}
 LOCK_MODES = {"update", "noKeyUpdate", "share", "keyShare"}
 
@@ -471,13 +473,23 @@ class Client:
 
     @contextmanager
     def _views(self):
-        """The snapshot's tables as temporary views, under their keys and storage names."""
+        """The snapshot's tables as temporary views, under their keys and storage names, while a query is resolved;
+        the session's own views of these names come back."""
         snapshot = self.tx.snapshot if self.tx else self.store.snapshot()
-        for name, df in snapshot.frames.items():
-            df.createOrReplaceTempView(name)
-            if source := self.schema.tables[name].source:
-                df.createOrReplaceTempView(source)
-        yield snapshot
+        views = {n: df for name, df in snapshot.frames.items() for n in (name, self.schema.tables[name].source) if n}
+        catalog = self.spark._jsparkSession.sessionState().catalog()
+        with _VIEWS:
+            before = {n: catalog.getRawTempView(n) for n in views}
+            try:
+                for n, df in views.items():
+                    df.createOrReplaceTempView(n)
+                yield snapshot
+            finally:
+                for n, old in before.items():
+                    if old.isDefined():
+                        catalog.createTempView(n, old.get(), True)
+                    else:
+                        self.spark.catalog.dropTempView(n)
 
     def raw_frame(self, sql: str, params: dict | list | None = None) -> DataFrame:
         """The query's DataFrame; parameters are bound by name (:a) or place (?), never spliced in."""

@@ -65,6 +65,12 @@ _STATUS = {
 _STATUS_OF = {code: status for status, codes in _STATUS.items() for code in codes}
 
 
+#: How databases say that a lock wasn't to be had: SQL state, error numbers and words (fixed values).
+LOCK_STATE = "55P03"
+LOCK_NUMBERS = (1205, 3572)
+LOCK_WORDS = ("lock timeout", "could not obtain lock", "could not be acquired immediately", "nowait is set")
+
+
 class EngineError(Exception):
     """``code``, ``status``, ``message``, ``details`` and the error that caused it."""
 
@@ -81,9 +87,12 @@ class EngineError(Exception):
         if isinstance(error, cls):
             return error
         details = {}
+        state = getattr(error, "sqlstate", None)
         if hasattr(error, "getCondition"):
-            code = ErrorCode.DATABASE_ERROR
-            details = {"condition": error.getCondition(), "sqlState": error.getSqlState()}
+            code, state = ErrorCode.DATABASE_ERROR, error.getSqlState()
+            details = {"condition": error.getCondition(), "sqlState": state}
+        if state == LOCK_STATE or getattr(error, "errno", None) in LOCK_NUMBERS or any(w in str(error).lower() for w in LOCK_WORDS):
+            code = ErrorCode.LOCK_TIMEOUT
         return cls(code, str(error) or type(error).__name__, details=details, cause=error)
 
     def with_cause(self, cause: BaseException) -> EngineError:

@@ -68,7 +68,7 @@ class GraphBuilder:
             df = self._include(table, self.schema.relation(table, name), nested, df, few)
         if chosen.counts:
             for name, where in chosen.counts.items():
-                df = self._count(self.schema.relation(table, name), where, df)
+                df = self._count(self.schema.relation(table, name), where, df, few)
             df = df.withColumn("_count", F.struct(*(F.coalesce(F.col(f"__n_{n}"), F.lit(0).cast("long")).alias(n) for n in chosen.counts)))
         shown = chosen.columns + [f"__r_{n}" for n in chosen.relations]
         return df.select(*(F.col(c).alias(c.removeprefix("__r_")) for c in shown), *(["_count"] if chosen.counts else []), *keep)
@@ -125,8 +125,8 @@ class GraphBuilder:
             out = out.withColumn(value, F.coalesce(F.col(value), F.array().cast(child.schema[value].dataType)))
         return out
 
-    def _count(self, rel: Relation, where: Any, df: DataFrame) -> DataFrame:
-        rows, keys = self._children(rel, {"where": where}, None)
+    def _count(self, rel: Relation, where: Any, df: DataFrame, few: bool) -> DataFrame:
+        rows, keys = self._children(rel, {"where": where}, df if few else None)
         n = f"__n_{rel.name}"
         right = [f"__c{i}" for i in range(len(keys))]
         counts = rows.groupBy(*(F.col(k).alias(r) for k, r in zip(keys, right))).agg(F.count("*").alias(n))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
 from typing import Any
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlake.errors import fail
 from graphlake.operators.read import plain
@@ -64,14 +68,40 @@ class RelationWriter:
     def _resolve_all(self, target: str, selectors: Any) -> list[dict]:
         rows, seen = [], set()
         key = self.schema.table(target).primary_key
-        for s in _list(selectors):
-            row = self.resolve(target, s)
+        for row in self._each(target, _list(selectors)):
             ident = tuple(row[k] for k in key) if key else tuple(map(repr, row.values()))
             if ident not in seen:
                 seen.add(ident)
                 rows.append(row)
         return rows
 
+    def _each(self, target: str, selectors: list) -> list[dict]:
+        """``resolve`` for each selector. Those of plain values are found together, by one join for all that name the
+        same columns."""
+        table = self.schema.table(target)
+        found: dict[int, dict] = {}
+        alike: dict[tuple, list[int]] = {}
+        for i, s in enumerate(selectors):
+            own = given(s) if isinstance(s, dict) else {}
+            if own and set(own) <= set(table.columns) and all(isinstance(v, (str, int, float, date, Decimal)) for v in own.values()):
+                alike.setdefault(tuple(sorted(own)), []).append(i)
+        for cols, at in alike.items():
+            if len(at) < 2:
+                continue
+            typed = T.StructType([T.StructField("__i", T.LongType()), *(T.StructField(f"__s_{c}", table.schema[c].dataType) for c in cols)])
+            asked = self.snapshot.store.spark.createDataFrame([(i, *(selectors[i][c] for c in cols)) for i in at], typed)
+            rows = self.snapshot.scan(target).join(F.broadcast(asked), all_of(F.col(c) == F.col(f"__s_{c}") for c in cols))
+            rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__i").orderBy(*table.columns))).where("__n <= 2")
+            met: dict[int, list[dict]] = {}
+            for r in rows.select("__i", *table.columns).collect():
+                row = plain(r)
+                met.setdefault(row.pop("__i"), []).append(row)
+            for i in at:
+                if len(met.get(i, [])) != 1:
+                    raise fail(f"A selector of {target} matches {'several rows' if i in met else 'no row'}", table=target)
+                found[i] = met[i][0]
+        return [found[i] if i in found else self.resolve(target, s) for i, s in enumerate(selectors)]
+
     def own_keys(self, table: Table, commands: dict[str, dict]) -> dict[str, Any]:
         """Values of the foreign keys that the row itself holds."""
         out: dict[str, Any] = {}

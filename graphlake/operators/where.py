@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.errors import fail
-from graphlake.functions.json_path import JsonPath
+from graphlake.functions.json_path import JsonPath, is_number
 from graphlake.functions.patterns import PATTERNS, matches
 from graphlake.schema import Relation, Table
 from graphlake.values import UNSET, given
@@ -119,8 +119,7 @@ class WhereCompiler:
             if op == "equals":
                 terms.append(at.equals(x))
             elif op in _COMPARE:
-                ok, got = at.typed(float(x))
-                terms.append(ok & _COMPARE[op](got, F.lit(x)))
+                terms.append(at.number(x, _COMPARE[op]) if is_number(x) else None)  # other operands make no condition
             elif op in PATTERNS:
                 ok, got = at.typed("")
                 terms.append(ok & matches(got, op, x, escape=self.escape_like))

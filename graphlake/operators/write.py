@@ -13,10 +13,13 @@ from graphlake.operators.order import sort_columns, with_key
 from graphlake.operators.read import plain
 from graphlake.operators.where import all_of
 from graphlake.schema import Table
+from graphlake.sources.store import file_name
 from graphlake.values import UNSET, given
 
 #: Small inputs that are broadcast: rows given as Python values are at most this many.
 BROADCAST_ROWS = 100_000
+#: Rows given as Python values that are written as one file.
+FILE_ROWS = 10_000
 
 
 def lit(v: Any) -> Column:
@@ -43,7 +46,8 @@ class Writer:
             df = data.withColumn("__i", F.monotonically_increasing_id())
             if complete:
                 df = df.select("__i", *(F.col(k) if k in data.columns else lit(c.make_default()).alias(k) for k, c in t.columns.items()))
-            return df.select("__i", *(F.col(k).cast(t.columns[k].dtype).alias(k) for k in df.columns if k != "__i"))
+            df = df.select("__i", *(F.col(k).cast(t.columns[k].dtype).alias(k) for k in df.columns if k != "__i"))
+            return self.snapshot.store.held(df, f"{t.name}-input")  # the caller's frame may give other rows next time
         rows = [given(r) for r in data]
         for r in rows:
             self._known(r)
@@ -51,7 +55,8 @@ class Writer:
         filled = [tuple(r[k] if k in r else t.columns[k].make_default() for k in keys) for r in rows]
         fields = [f for f in t.schema.fields if f.name in keys]
         schema = T.StructType([T.StructField("__i", T.LongType()), *fields])
-        return self.snapshot.store.spark.createDataFrame([(i, *r) for i, r in enumerate(filled)], schema)
+        out = self.snapshot.store.spark.createDataFrame([(i, *r) for i, r in enumerate(filled)], schema)
+        return out.coalesce(1) if len(filled) <= FILE_ROWS else out
 
     def _known(self, keys) -> None:
         for k in keys:
@@ -107,36 +112,63 @@ class Writer:
             rows = rows.withColumn("__d", F.row_number().over(w)).where((F.col("__d") == 1) | ~free).drop("__d")
             rows = rows.alias("n").join(self.current.alias("e"), self._on(key, "n", "e"), "left_anti")
         self.check_unique(rows, self.current, [k for k in self.table.keys if k not in skipped])
-        self.snapshot.put(self.table, self.current.unionByName(rows.drop("__i")))
+        self.snapshot.append(self.table, rows.drop("__i"))
         return rows
 
     # update and delete
 
-    def _split(self, where: Any) -> tuple[DataFrame, DataFrame]:
-        """(matching rows, the others)."""
+    def _scope(self, where: Any, also: Any = None) -> tuple[DataFrame, list[str] | None]:
+        """(the rows of the files that hold matching rows, the other files); all rows and None where the table isn't
+        as its files are. ``also`` narrows a frame of matching rows further."""
+        name = self.table.name
+        files = self.snapshot.files.get(name)
+        if files is None:
+            return self.current, None
         a = self.compiler.alias()
-        df = self.current.alias(a)
+        rows = self.snapshot.store.scan_files(name, files).select("*", F.col("_metadata.file_path").alias("__file")).alias(a) if files else None
+        if rows is None:
+            return self.current, []
+        cond = self.compiler.compile(self.table, where, a)
+        rows = rows if cond is None else rows.where(cond)
+        rows = rows.select(*(F.col(f"{a}.{c}").alias(c) for c in (*self.table.columns, "__file")))
+        hit = {file_name(r[0]) for r in (rows if also is None else also(rows)).select("__file").distinct().collect()}
+        touched = [f for f in files if f in hit]
+        if len(touched) != len(hit):
+            return self.current, None  # the files go by other names than those listed
+        return self.snapshot.store.scan_files(name, touched), [f for f in files if f not in hit]
+
+    def _replace(self, kept: list[str] | None, rows: DataFrame) -> None:
+        if kept is None or kept != self.snapshot.files.get(self.table.name):  # else no file holds a matching row
+            self.snapshot.replace(self.table, kept, rows)
+
+    def _split(self, where: Any, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(matching rows, the others), of all or of those given."""
+        a = self.compiler.alias()
+        rows = self.current if rows is None else rows
+        df = rows.alias(a)
         cond = self.compiler.compile(self.table, where, a)
         cols = [F.col(f"{a}.{c}").alias(c) for c in self.table.columns]
         if cond is None:
-            return self.current, self.current.where(F.lit(False))
+            return rows, rows.where(F.lit(False))
         return df.where(cond).select(*cols), df.where(~F.coalesce(cond, F.lit(False))).select(*cols)
 
     def assign(self, where: Any, values: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
         """Set columns of the matching rows; (the rows as they were, as they are now)."""
         self._known(values)
-        before, rest = self._split(where)
+        touched = [key for key in self.table.keys if set(key) & set(values)]
+        scope, kept = (self.current, None) if touched else self._scope(where)
+        before, rest = self._split(where, scope)
         after = before.select(*((lit(values[k]).cast(c.dtype).alias(k) if k in values else F.col(k)) for k, c in self.table.columns.items()))
         if any(k in values for k, c in self.table.columns.items() if not c.nullable):
             self.check_not_null(after.select(*[k for k in values if k in self.table.columns]))
-        touched = [key for key in self.table.keys if set(key) & set(values)]
         self.check_unique(after, rest, touched)
-        self.snapshot.put(self.table, rest.unionByName(after))
+        self._replace(kept, rest.unionByName(after))
         return before, after
 
     def remove(self, where: Any) -> DataFrame:
-        gone, rest = self._split(where)
-        self.snapshot.put(self.table, rest)
+        scope, kept = self._scope(where)
+        gone, rest = self._split(where, scope)
+        self._replace(kept, rest)
         return gone
 
     def first(self, rows: DataFrame) -> dict | None:
@@ -190,17 +222,19 @@ class Writer:
         if not cols:
             raise fail("updateEach has no columns to set")
         src = rows.select(F.col(by).alias("__by"), *(F.col(c).alias(f"__x_{c}") for c in cols), *self._presence(data, cols, rows))
-        before, rest = self._split(args.get("where"))
-        joined = before.join(self._small(data, src), F.col(by) == F.col("__by"), "left")
+        touched = [k for k in self.table.keys if set(k) & set(cols)]
+        small = self._small(data, src)
+        scope, kept = (self.current, None) if touched else self._scope(args.get("where"), lambda df: df.join(small, F.col(by) == F.col("__by"), "left_semi"))
+        before, rest = self._split(args.get("where"), scope)
+        joined = before.join(small, F.col(by) == F.col("__by"), "left")
         hit = F.col("__by").isNotNull()
         after = joined.select(*((F.when(hit & F.col(f"__g_{c}"), F.col(f"__x_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)) for c in self.table.columns), hit.alias("__hit"))
         changed = after.where("__hit").drop("__hit")
         self.check_not_null(changed.select(*cols))
         new = after.drop("__hit")
-        touched = [k for k in self.table.keys if set(k) & set(cols)]
         self.check_unique(new, rest, touched)
         count = changed.count()
-        self.snapshot.put(self.table, rest.unionByName(new))
+        self._replace(kept, rest.unionByName(new))
         out: dict[str, Any] = {"count": count}
         if given(args.get("select")):
             out["data"] = [plain(r) for r in self.reader.graph.project(self.table, changed, {"select": args["select"]}, few=True).collect()]
@@ -243,20 +277,22 @@ class Writer:
             values = {c: excluded[c] for c in ([k for k in self.table.columns if k not in target] if update == "all" else self._columns_of(rows, target, update))}
         if not values:
             raise fail("upsertMany has nothing to update")
-        joined = self.current.alias(own).join(src, all_of(F.col(f"{own}.{t}") == F.col(f"{x}_{t}") for t in target), "left")
+        touched = [k for k in self.table.keys if k != target]
+        on = lambda df: df.join(src, all_of(F.col(t) == F.col(f"{x}_{t}") for t in target), "left_semi")
+        scope, untouched = (self.current, None) if touched else self._scope(None, on)
+        joined = scope.alias(own).join(src, all_of(F.col(f"{own}.{t}") == F.col(f"{x}_{t}") for t in target), "left")
         hit = F.col(f"{x}__").isNotNull()
         gate = self.compiler.compile(self.table, args.get("where"), own)
         if gate is not None:
             hit = hit & F.coalesce(gate, F.lit(False))
         kept = joined.select(*((F.when(hit, values[k]).otherwise(F.col(f"{own}.{k}")).cast(c.dtype) if k in values else F.col(f"{own}.{k}")).alias(k) for k, c in self.table.columns.items()), hit.alias("__hit"))
-        fresh = rows.drop("__i").alias("n").join(self.current.alias("e"), self._on(target, "n", "e"), "left_anti")
+        fresh = rows.drop("__i").alias("n").join(scope.alias("e"), self._on(target, "n", "e"), "left_anti")
         self.check_not_null(kept.where("__hit").select(*values))
-        touched = [k for k in self.table.keys if k != target]
         self.check_unique(fresh, kept, touched)
         self.check_unique(kept, fresh, [k for k in touched if set(k) & set(values)])
         affected = kept.where("__hit").drop("__hit").unionByName(fresh)
         count = affected.count()
-        self.snapshot.put(self.table, kept.drop("__hit").unionByName(fresh))
+        self.snapshot.replace(self.table, untouched, kept.drop("__hit").unionByName(fresh))
         out: dict[str, Any] = {"count": count}
         if given(args.get("select")):
             out["data"] = [plain(r) for r in self.reader.graph.project(self.table, affected, {"select": args["select"]}, few=True).collect()]
