@@ -173,7 +173,7 @@ _denied("cursor_both_ways", "OPERATION_ERROR", lambda c: c.supplier.cursor(curso
 _denied("or_throw", "RESULT_NOT_FOUND", lambda c: c.supplier.find_unique(where={"s_suppkey": -1}).or_throw(), lambda c: c.supplier.find_many(where={"s_suppkey": c.supplier.find_unique(where={"s_suppkey": 7}).or_throw()["s_suppkey"]}).df, f"{_SUP} WHERE s_suppkey = 7")
 _denied("repository", "REPOSITORY_NOT_FOUND", lambda c: c.repository("nope"), lambda c: c.repository("supplier").find_many(select=_key).df, _KEYS)
 _denied("unique_violation", "unique", lambda c: c.supplier.create(data=_ROW | {"s_suppkey": 1}), _state, _SUP)
-_denied("not_null_violation", "notNull", lambda c: c.supplier.update_many(where=_less, data={"s_suppkey": None}), _state, _SUP)
+_denied("not_null_violation", "notNull", lambda c: c.supplier.update_many(where={"s_suppkey": {"lt": 5}}, data={"s_suppkey": None}), _state, _SUP)
 _denied("relation_selector", "OPERATION_ERROR", lambda c: c.supplier.update(where={"s_suppkey": 7}, data={"nation": {"connect": {"n_regionkey": 1}}}), lambda c: (c.supplier.update(where={"s_suppkey": 7}, data={"nation": {"connect": {"n_nationkey": 4}}}), _state(c))[1], _set("s_suppkey = 7", s_nationkey="4"))
 _denied("relation_commands", "OPERATION_ERROR", lambda c: c.supplier.create(data=_ROW | {"nation": {"disconnect": True}}), _state, _SUP)
 
