@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,7 @@ from test_operators import brute_components, brute_contamination, corpus, frame,
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 #: Columns whose names the operators use inside.
-CLASH = ["id", "uid", "node", "n", "h", "key", "kind", "sig", "size", "shard", "slot", "__id", "__text", "rn", "end", "range", "crc", "value", "kept", "rule", "host", "path"]
+CLASH = ["of", "label", "__label", "chars", "row", "pages", "marked", "__of", "id", "uid", "node", "n", "h", "key", "kind", "sig", "size", "shard", "slot", "__id", "__text", "rn", "end", "range", "crc", "value", "kept", "rule", "host", "path"]
 
 
 def clashing(df):
@@ -28,9 +29,21 @@ def operators():
     from graphlake.llm.language_id import fit_languages, identify_languages
     from graphlake.llm.line_dedup import drop_boilerplate
     from graphlake.llm.packing import pack_documents
-    from graphlake.llm.quality import score_quality
+    from graphlake.llm.quality import fit_quality, score_quality
     from graphlake.llm.sharding import assign_shards
 
+    def marks(d):
+        """Two classes with rows that no fit may take: null ids, other labels, labels both ways, repeated ones."""
+        spark = d.sparkSession
+        rows = [(i, i % 2, 0) for i in range(1000, 1040)] + [(1000, 0, 0), (1041, 5, 0), (None, 1, 0), (1002, 0, 0), (77, 1, 1)]
+        return clashing(spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+
+    def scored(d):
+        known = clashing(d.sparkSession.createDataFrame([(i, "good plain words here" if i % 2 else "bad !!! $$$", "en", "s", 1) for i in range(1000, 1042)] * 2, DDL))
+        model = fit_quality(known.unionByName(d.select(*known.columns)), marks(d))
+        assert model is not None
+        return score_quality(d, model)
+
     return {
         "sharding": lambda d: assign_shards(d, 4),
         "packing": lambda d: pack_documents(d, public_tokenizers.path("word_bpe_49k.json")),
@@ -38,7 +51,8 @@ def operators():
         "language": lambda d: identify_languages(d, fit_languages(d)),
         "lines": drop_boilerplate,
         "exact": exact_duplicates,
-        "quality": lambda d: score_quality(d, None),
+        "quality": scored,
+        "no quality": lambda d: score_quality(d, None),
     }
 
 
@@ -46,7 +60,7 @@ DDL = "doc_id long, text string, lang string, source string, n_chars long"
 ROWS = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, None, None, None, None), (None, "a b c d e f g h", None, None, None), (None, None, None, None, None), (3, "", "en", "s", 0), (4, "word " * 60_000, "en", "s", 300_000), (5, "word " * 60_000 + "x", "en", "s", 300_001)]
 
 
-@pytest.mark.parametrize("name", ["sharding", "packing", "jaccard", "language", "lines", "exact", "quality"])
+@pytest.mark.parametrize("name", ["sharding", "packing", "jaccard", "language", "lines", "exact", "quality", "no quality"])
 def test_edge_rows(spark, name):
     pytest.importorskip("public_tokenizers")
     op = operators()[name]
@@ -56,6 +70,9 @@ def test_edge_rows(spark, name):
     if name == "exact":
         assert {(r.doc_id, r.keep_id, r.group_size) for r in got if r.doc_id == 1} == {(1, 1, 2)}
         assert {r.keep_id for r in got if r.group_size == 3} == {2}  # the empty texts
+    if name == "quality":
+        assert len({r.score for r in got if r.doc_id == 1}) == 1 and len({r.score for r in got if r.doc_id in (2, 3)}) == 1
+        assert all(0 <= r.score <= 1 and r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     if name == "jaccard":
         by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
         assert by[1, 3] == 1 and by[None, 4] is not None or by[None, 4] is None and by[1, 3] == 1
@@ -82,6 +99,75 @@ def test_edges_of_the_other_operators(spark):
     assert archive_pages(pages.limit(0)).count() == 0
 
 
+def test_hot_ids_are_learned_from_once(spark, monkeypatch):
+    """One labelled row that is a third of all comes to the driver once; conflicting labels don't come at all."""
+    from graphlake.llm import language_id as L
+    from graphlake.llm import quality as Q
+
+    taken = []
+    monkeypatch.setattr(Q, "train", lambda texts, ys, shares: taken.extend(zip(texts, ys)))
+    docs = frame(spark, [(i, f"text {i}") for i in range(60)] + [(7, "text 7")] * 40, "doc_id long, text string")
+    marks = frame(spark, [(i, i % 2) for i in range(60)] * 2 + [(9, 0)], "doc_id long, quality int")
+    Q.fit_quality(docs, marks)
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and i != 9]
+    assert sorted(taken) == sorted((f"text {i}", i % 2) for i in learned)
+    got = []
+    monkeypatch.setattr(L, "train", lambda texts, langs: got.append(list(zip(texts, langs))) or 1 / 0)
+    known = docs.selectExpr("doc_id", "text", "concat('l', doc_id % 3) AS lang")
+    for most in (100_000, 2):
+        monkeypatch.setattr(L, "SAMPLE_ROWS", most)
+        try:
+            assert L.fit_languages(known) is None  # where the few languages that are drawn have no row
+        except ZeroDivisionError:
+            pass
+    assert sorted(got[0]) == sorted((f"text {i}", f"l{i % 3}") for i in range(60) if zlib.crc32(str(i).encode()) % 5)
+    assert all(len(g) <= 2 * 3 for g in got[1:])
+
+
+def test_more_languages_than_dimensions(spark):
+    from graphlake.llm.language_id import DIM, fit_languages, identify_languages
+
+    rng = random.Random(2)
+    letters = "bcdfghjklmnpqrstvwxyz"
+    sounds = {f"l{i:02d}": [a + v + b for a, b in zip(rng.sample(letters, 6), rng.sample(letters, 6)) for v in "ai"] for i in range(DIM + 8)}
+    rows = [(n, " ".join("".join(rng.choice(sounds[lang]) for _ in range(2)) for _ in range(30)), lang) for n in range(1800) for lang in [rng.choice(list(sounds))]]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    assert model.weights is not None and model.rows.shape[1] == DIM and len(model.languages) == DIM + 8
+    got = {r.doc_id: r for r in identify_languages(docs, model).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i].lang_pred == lang for i, lang in held) >= 0.95 * len(held)
+
+
+def test_beyond_a_broadcast(spark, monkeypatch):
+    """The joins that shuffle give the same rows: line dedup with salted sites, URL rules, owners of payloads."""
+    from graphlake.llm import line_dedup as L
+    from graphlake.llm import url_filter as U
+    from graphlake.llm import warc as W
+
+    rng = random.Random(6)
+    lines = frame(spark, [(i, rng.choice(["a", "a", "b", None]), "\n".join(rng.choice(["menu", " foot ", f"x{rng.randint(0, 99)}", ""]) for _ in range(4))) for i in range(200)] + [(None, "c", None)], "doc_id long, source string, text string")
+    urls = frame(spark, [(i, rng.choice(["http://a.b.net/x/y", "https://Net/", "http://q.org/fr/1#z", None, "http://b.net/x"])) for i in range(60)], "page_id long, url string")
+    rules = frame(spark, [("net", "/", "block"), ("b.net", "/x/", "allow"), ("org", "/fr/", "block"), *((f"h{i}.net", "/" + "p" * i, "block") for i in range(40))], "host string, path string, verdict string")
+    pages = frame(spark, [(i, "http://a/", rng.choice(["x", "y", f"z{i}"])) for i in range(40)], "page_id long, url string, html string")
+    runs = {"lines": lambda: L.drop_boilerplate(lines), "urls": lambda: U.filter_urls(urls, rules), "pages": lambda: W.archive_pages(pages).select("page_id", "record_type", "refers_to", "payload_digest")}
+    rows = lambda f: sorted(map(tuple, f().collect()), key=str)
+    few = {n: rows(f) for n, f in runs.items()}
+    for module, name in ((L, "BROADCAST_ROWS"), (U, "BROADCAST_RULES"), (W, "BROADCAST_ROWS")):
+        monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(L, "SITE_PAGES", 9)
+    assert {n: rows(f) for n, f in runs.items()} == few
+    assert any(r[3] for r in few["lines"]) and {"allow", "block"} <= {r[5] for r in few["urls"]}
+
+
+def test_lines_of_a_host(spark):
+    from graphlake.llm.line_dedup import drop_boilerplate
+
+    pages = frame(spark, [(i, f"http://{'A.com' if i % 2 else 'b.com'}/p{i}", f"menu\ntext {i}") for i in range(10)] + [(99, None, "menu")], "page_id long, url string, html string")
+    got = {r.page_id: (r.site, r.clean_text) for r in drop_boilerplate(pages, id_col="page_id", url_col="url", text_col="html").collect()}
+    assert got == {i: ("a.com" if i % 2 else "b.com", f"text {i}") for i in range(10)} | {99: ("", "menu")}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Each stage on its own input; the last one's pieces cover exactly the documents that stay."""
     pytest.importorskip("public_tokenizers")
