@@ -25,12 +25,13 @@ class JsonPath:
         return kind == name, F.try_variant_get(self.doc, self.at, name.lower())
 
     def number(self, v: Any, compare: Callable[[Column, Column], Column]) -> Column:
-        """The node is a number that compares so with v: exactly, as decimals, where both have 19 digits before the
-        point and 18 after it at most, else as doubles."""
+        """The node is a number that compares so with v. Below 2^53 in size numbers compare as doubles, as which those
+        of 15 digits are what they are; from there on as decimals where both have 19 digits before the point and 18
+        after it at most, which parses the document more often."""
         kind = F.schema_of_variant(self.node)
         near = compare(F.try_variant_get(self.doc, self.at, "double"), F.lit(float(v)))
         exact = Decimal(repr(v)) if isinstance(v, float) else Decimal(v)
-        if exact.is_finite() and abs(exact) < 10**19 and exact.as_tuple().exponent >= -18:
+        if exact.is_finite() and (abs(exact) >= 2**53 or len(exact.as_tuple().digits) > 15) and abs(exact) < 10**19 and exact.as_tuple().exponent >= -18:
             own = F.try_variant_get(self.doc, self.at, "decimal(38,18)")
             near = F.when(kind.rlike("^(BIGINT|DECIMAL.*)$") & own.isNotNull(), compare(own, F.lit(format(exact, "f")).cast("decimal(38,18)"))).otherwise(near)
         return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & near

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphlake.schema import Schema, Table
 
 COMMITS = "commits"
+#: What Spark takes for so few bytes is written as one file.
+FILE_BYTES = 32 << 20
 
 
 class ConcurrentWrite(Exception):
@@ -110,7 +112,8 @@ class TableStore:
     def _written(self, df: DataFrame, name: str) -> list[str]:
         """The new files that hold the frame's rows."""
         path = f"{self.path}/{name}/v-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        (df.coalesce(1) if size <= FILE_BYTES else df).write.parquet(path)
         return sorted(map(file_name, self.spark.read.schema(df.schema).parquet(path).inputFiles()))
 
     # the commits' files, through Hadoop's file systems
