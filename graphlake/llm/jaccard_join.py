@@ -44,6 +44,8 @@ BROADCAST_ROWS = 2_000_000
 BITS_A_TEXT, MOST_MAPS = 256, 1 << 14
 #: Members of a list that one task orders, about; longer lists are salted.
 LIST_ROWS = 200_000
+#: Probes and targets of a block of the last comparison, about.
+BLOCK_PROBES, BLOCK_ROWS = 512, 4096
 #: Tokens beyond which a set has a fine sketch as well.
 FINE = 1024
 
@@ -332,7 +334,7 @@ def _verify(num: int, den: int):
 
 
 def _within_blocks(num: int, den: int):
-    """Rows (g, block, salt, probe, node, c, n, sketch), sorted by the first four with probes last -> pairs of a
+    """Rows (g, band, block, salt, probe, node, c, n, sketch), sorted by the first five with probes last -> pairs of a
     probe and another row of its block, of different components, that sketches don't rule out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -356,7 +358,7 @@ def _within_blocks(num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, x])) for x in (0, 1)], schema=schema)
 
         for batch in batches:
-            keys = np.stack([batch.column(x).to_numpy() for x in range(3)], 1)
+            keys = np.stack([batch.column(x).to_numpy() for x in range(4)], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             if held and (keys[0] != last).any():
                 yield solve(pa.Table.from_batches(held))
@@ -552,22 +554,37 @@ def _some_pairs(at: DataFrame, turn: int) -> DataFrame:
 
 
 def _block_pairs(at: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Every pair of different components within a list that sketches don't rule out.
+    """Every pair of different components within a list that sizes and sketches don't rule out.
 
     A list's members outside its largest component are probes against all of it. Lists of one largest
-    component are taken together, which drops the repetitions of a node, and cut into blocks of probes and
-    of targets, so that a task holds a bounded number of sketches whatever the component's size.
+    component are taken together, which drops the repetitions of a node. Where these are more than a block, they are
+    parted by bands of size: a probe's links reach into its own and the next ones. What has no probe near it goes;
+    the rest is cut into blocks of probes and of targets, so that a task holds a bounded number of sketches whatever
+    the component's size.
     """
+    def held(df: DataFrame) -> DataFrame:
+        """A table by component: broadcast if it may be, or a component's rows would meet."""
+        df = materialize(df, "counts")
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
     sizes = at.groupBy("sig", "c").agg(F.count("*").alias("m"))
     major = sizes.groupBy("sig").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("g"))
     rows = at.join(major, "sig").select("g", "node", "c").distinct()
+    # partners' sizes differ by den / num at most; a little more, so that no rounding parts them by two classes
+    band = F.floor(F.log(F.col("n")) / float(np.log(1.01 * den / num)))
     rows = materialize(rows.join(sketches.drop("fine"), "node").withColumn("probe", F.expr("c <> g")), "members")
-    counts = rows.groupBy("g").agg(F.expr("ceil(count_if(probe) / 512)").alias("blocks"), F.expr("ceil(count(*) / 4096)").alias("salts"))
-    counts = materialize(counts, "counts")
-    rows = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "g")  # else a component's rows would meet
+    large = held(rows.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS))
+    rows = rows.join(large, "g", "left").withColumn("band", F.when(F.col("m").isNotNull(), band))
+    reach = F.explode(F.when(F.col("m").isNotNull(), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0).cast("long")))).alias("band")
+    own = F.coalesce("band", F.lit(0).cast("long")).alias("band")
+    met = rows.select("g", own, F.lit(0).alias("p"), F.lit(1).alias("t")).unionAll(rows.where("probe").select("g", reach, F.lit(1), F.lit(0)))
+    counts = met.groupBy("g", "band").agg(F.ceil(F.sum("p") / BLOCK_PROBES).alias("blocks"), F.ceil(F.sum("t") / BLOCK_ROWS).alias("salts"))
+    counts = held(counts.where("blocks > 0 and salts > 0"))
     x = F.xxhash64("node")
-    probes = rows.where("probe").select("*", F.pmod(x, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    targets = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(x, "salts").alias("salt")).withColumn("probe", F.lit(False))
-    both = probes.unionByName(targets).select("g", "block", "salt", "probe", "node", "c", "n", "sketch")
+    probes = rows.where("probe").select("g", "node", "c", "n", "sketch", "probe", reach).join(counts, ["g", "band"])
+    probes = probes.select("*", F.pmod(x, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    targets = rows.select("g", "node", "c", "n", "sketch", F.lit(False).alias("probe"), own).join(counts, ["g", "band"])
+    targets = targets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(x, "salts").alias("salt"))
+    both = probes.unionByName(targets).select("g", "band", "block", "salt", "probe", "node", "c", "n", "sketch")
     run, schema = _within_blocks(num, den)
-    return map_batches(both.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "probe"), run, schema)
+    return map_batches(both.repartition("g", "band", "block", "salt").sortWithinPartitions("g", "band", "block", "salt", "probe"), run, schema)
