@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from graphlake.errors import fail
 
+# fixed values: the options that users of the API pass
 _OPTIONS = {"analyze", "verbose", "costs", "timing", "summary", "timeoutMs", "name", "comment", "buffers", "settings", "wal", "format"}
 _MODES = {"simple", "extended", "codegen", "cost", "formatted"}
 
