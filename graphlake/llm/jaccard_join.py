@@ -45,7 +45,7 @@ BITS_A_TEXT, MOST_MAPS = 256, 1 << 14
 #: Members of a list that one task orders, about; longer lists are salted.
 LIST_ROWS = 200_000
 #: Probes and targets of a block of the last comparison, about.
-BLOCK_PROBES, BLOCK_ROWS = 512, 4096
+BLOCK_PROBES, BLOCK_ROWS = 256, 1024
 #: Tokens beyond which a set has a fine sketch as well.
 FINE = 1024
 
