@@ -1,0 +1,23 @@
+"""Joins with a table of one row a key, where one key may have a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Keys of more rows than this, and than this part of all, are hot: at most so many keys are broadcast.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their key's row in ``table`` (key, n, ...), n left out; rows without one go.
+
+    n: how many rows have the key, or more; total: at least the sum of all n. The rows of hot keys stay where they
+    are and meet the table's by a broadcast of at most HOT_KEYS rows; the others meet by a shuffle, where no key has
+    more than total / HOT_KEYS rows.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = table.where(F.col("n") > bound).drop("n")
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= bound).drop("n"), key)
+    return near.unionAll(far)

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._hot import join_by_key
 from graphlake.llm._scratch import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u, v) with u > v; every step keeps the components as they are.
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One star step over at most ``count`` edges (u, v) with u > v; every step keeps the components as they are.
 
     Large: each node's larger neighbours go to the least of the node and its neighbours. Small: a node and
-    its smaller neighbours go to the least of these. The minimum is a partial aggregate and goes back by a
-    join that adaptive execution can split, so a hub's neighbours never meet in one task.
+    its smaller neighbours go to the least of these. The minimum is a partial aggregate; those of hubs go back by a
+    broadcast, so a hub's neighbours never meet in one task.
     """
+    least = [F.min("v").alias("m"), F.count("*").alias("n")]
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        out = join_by_key(both.where("v > u"), both.groupBy("u").agg(*least), "u", 2 * count).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(*least)
+        out = join_by_key(edges, least, "u", count).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = cur.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
     while state[0]:
-        nxt = materialize(_star(_star(cur, True), False), "edges")
+        nxt = materialize(_star(_star(cur, True, state[0]), False, state[0]), "edges")
         new = nxt.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         release(cur)
         cur = nxt

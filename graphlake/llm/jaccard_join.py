@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from graphlake.llm._arrow import map_batches
 from graphlake.llm._bitmap import bitmap, maps_for, marked, place
+from graphlake.llm._hot import join_by_key
 from graphlake.llm._scratch import materialize, release
 from graphlake.llm._text import mix64, shingle_sets, sorted_distinct, string_slices
 from graphlake.llm.components import connected_components
@@ -503,12 +504,15 @@ def near_duplicates(
     if components is None:
         components = spark.createDataFrame([], "node long, component long")
 
-    nodes = ids.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    nodes = nodes.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = nodes.join(least, "component").select(F.col("node").alias("of"), "component_id")
-    out = ids.join(of_node, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    # a third of all rows may have one set, or lie in one component
+    nodes = ids.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    nodes = materialize(nodes.join(components, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component")), "nodes")
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_node = join_by_key(nodes, least, "component", nodes.count()).select("node", "component_id", F.col("copies").alias("n"))
+    some = ids.where("n > 0").select("node", "id", F.col("n").alias("size"))
+    out = join_by_key(some, of_node, "node", some.count()).select("id", "size", "component_id")
+    out = out.unionAll(ids.where("n = 0").select("id", "n", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
 def _finely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -528,9 +532,9 @@ def _open_members(lists: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
         return lists.withColumn("c", F.col("node"))  # not a table of its own: nothing to release
     at = lists.join(components, "node", "left").select("sig", "salt", "node", "n", F.coalesce("component", "node").alias("c"))
-    several = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"))
-    several = several.where("lo <> hi and m > 2").select("sig")  # two members of a list have been compared with each other
-    return materialize(at.join(several, "sig", "left_semi"), "open")
+    several = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+    several = several.where("lo <> hi and n > 2").select(F.col("sig").alias("of"), "n")  # two members of a list have been compared with each other
+    return materialize(join_by_key(at.withColumn("of", F.col("sig")), several, "of", lists.count()).drop("of"), "open")
 
 
 def _some_pairs(at: DataFrame, turn: int) -> DataFrame:
@@ -568,8 +572,8 @@ def _block_pairs(at: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     sizes = at.groupBy("sig", "c").agg(F.count("*").alias("m"))
-    major = sizes.groupBy("sig").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("g"))
-    rows = at.join(major, "sig").select("g", "node", "c").distinct()
+    major = sizes.groupBy("sig").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("g"), F.sum("m").alias("n"))
+    rows = join_by_key(at.select("sig", "node", "c"), major, "sig", at.count()).select("g", "node", "c").distinct()
     # partners' sizes differ by den / num at most; a little more, so that no rounding parts them by two classes
     band = F.floor(F.log(F.col("n")) / float(np.log(1.01 * den / num)))
     rows = materialize(rows.join(sketches.drop("fine"), "node").withColumn("probe", F.expr("c <> g")), "members")
