@@ -84,13 +84,11 @@ def test_jaccard_join(spark, frequent, very_frequent):
 @pytest.mark.parametrize(("list_rows", "node_bits"), [(4, 64), (200_000, 4), (8, 5)])
 def test_jaccard_join_of_long_lists_and_shared_names(spark, monkeypatch, list_rows, node_bits):
     """Lists dealt over tasks, small blocks and bands of size, and sets whose fingerprints are equal though they aren't."""
-    from graphlake.llm import _hot
     from graphlake.llm import jaccard_join as J
     from graphlake.llm.jaccard_join import near_duplicates
 
     monkeypatch.setattr(J, "BLOCK_PROBES", 3)
     monkeypatch.setattr(J, "BLOCK_ROWS", 5)
-    monkeypatch.setattr(_hot, "HOT_ROWS", 2)
     rows = corpus(seed=8) + [(3000 + i, t) for i, t in corpus(seed=9, groups=3)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows).repartition(3), frequent=2, very_frequent=6, list_rows=list_rows, node_bits=node_bits).collect()}
     assert got == brute_components(rows)
