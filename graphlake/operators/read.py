@@ -28,15 +28,15 @@ def plain(value: Any) -> Any:
 
 
 class Result:
-    """A read that runs when its value is asked for, once. ``df`` is the plan of its data."""
+    """A read that runs when its value is asked for, once. ``df`` is the plan of its data: ``data``, or else the first statement."""
 
-    def __init__(self, statements: dict[str, DataFrame], compute: Callable[[], Any], *, relations: list[dict] | None = None, finish: Callable[[Any], Any] | None = None):
-        self.statements, self._compute, self._relations, self._finish = statements, compute, relations or [], finish
+    def __init__(self, statements: dict[str, DataFrame], compute: Callable[[], Any], *, data: DataFrame | None = None, relations: list[dict] | None = None, finish: Callable[[Any], Any] | None = None):
+        self.statements, self._compute, self._data, self._relations, self._finish = statements, compute, data, relations or [], finish
         self._done, self._value = False, None
 
     @property
     def df(self) -> DataFrame:
-        return next(iter(self.statements.values()))
+        return next(iter(self.statements.values())) if self._data is None else self._data
 
     def value(self) -> Any:
         if not self._done:
@@ -154,8 +154,8 @@ class Reader:
         down = next((d for k, d in entries if k == key), "asc") == "desc"
         return F.col(key) < F.lit(value) if down != backwards else F.col(key) > F.lit(value)
 
-    def cursor_frame(self, args: dict) -> DataFrame:
-        """The rows of a keyset page, one more than its limit, in the order of travel."""
+    def cursor_frame(self, args: dict, ahead: bool = False) -> DataFrame:
+        """The rows of a keyset page in the order asked for; ``ahead``: with one beyond its limit, in the order of travel."""
         k = self._keyset(args)
         df = self.compiler.apply(self.table, self.scan(self.table.name), args.get("where"))
         entries = k["entries"]
@@ -163,12 +163,14 @@ class Reader:
             df = df.where(self._beyond(k["before"] or k["after"], entries, bool(k["before"])))
         if k["before"]:
             entries = [(c, "asc" if d == "desc" else "desc") for c, d in entries]
-        df = page(df, entries, k["limit"] + 1, args.get("skip"))
+        df = page(df, entries, k["limit"] + ahead, args.get("skip"))
+        if k["before"] and not ahead:
+            df, entries = page(df, k["entries"]), k["entries"]
         return self.shaped(df, args, entries, few=True)
 
     def cursor(self, args: dict, finish=None) -> Result:
         k = self._keyset(args)
-        data = self.cursor_frame(args)
+        data = self.cursor_frame(args, ahead=True)
         if k["field"] not in data.columns:
             raise fail(f'The cursor column "{k["field"]}" must be selected')
         where = self.compiler.apply(self.table, self.scan(self.table.name), args.get("where"))
@@ -190,7 +192,7 @@ class Reader:
             meta |= {"nextCursor": {k["field"]: last} if has_next else None, "previousCursor": {k["field"]: first} if has_previous else None}
             return {"data": rows, "pagination": meta}
 
-        return Result({"data": data}, run, relations=self._relations(args), finish=finish)
+        return Result({"data": data}, run, data=self.cursor_frame(args), relations=self._relations(args), finish=finish)
 
 
 def page_meta(total: int, take: int, skip: int) -> dict:

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from blog import blog
 
-from graphlake import Column, EngineError, ErrorCode, Schema, Table
+from graphlake import Column, EngineError, ErrorCode, Schema, Table, domain, guard_queries
 from graphlake.client import Client
 from graphlake.errors import is_check_violation, is_foreign_key_violation, is_unique_violation
 from graphlake.hooks import HOOKS, Plugin
@@ -226,3 +226,17 @@ def test_errors():
     assert e.with_details(a=1).to_json()["details"] == {"a": 1} and e.to_json()["cause"] == {"name": "Db", "message": "x"}
     assert EngineError.of(e) is e and e.with_cause(ValueError("y")).cause.args == ("y",)
     assert is_foreign_key_violation(Exception("FOREIGN KEY constraint failed")) and is_check_violation(Exception("CHECK constraint failed"))
+
+
+@pytest.mark.parametrize("name", ["requireOrderByForCursor"])
+def test_rule_rows_beyond_a_page(spark, monkeypatch, name):
+    """More rows than the page of 1,000 takes: the query ends where its SQL does."""
+    suppliers = spark.range(1100).selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey", "IF(id % 100 = 0, 1.0D, -1.0D) AS s_acctbal")
+    monkeypatch.setattr(guard_queries, "client", lambda spark, sf_dir, **options: Client.open(spark, domain.schema(), {"supplier": suppliers}, **options))
+    suppliers.createOrReplaceTempView("supplier")
+    try:
+        expected = spark.sql(guard_queries.ORACLES[f"rule_{name}"]).collect()
+    finally:
+        spark.catalog.dropTempView("supplier")
+    rows = guard_queries.QUERIES[f"rule_{name}"](spark, "").collect()
+    assert len(expected) == 1000 and rows == expected

@@ -146,6 +146,30 @@ def test_cursor(db):
         db.users.cursor(orderBy={"id": "asc"}, select={"name": True})
 
 
+@pytest.mark.parametrize(
+    ("args", "ids"),
+    [
+        ({"orderBy": {"id": "asc"}}, [1, 2]),
+        ({"orderBy": {"id": "asc"}, "skip": 1}, [2, 3]),
+        ({"orderBy": {"id": "asc"}, "cursor": {"after": {"id": 2}}}, [3, 4]),
+        ({"orderBy": {"id": "asc"}, "cursor": {"after": {"id": 4}}}, [5]),
+        ({"orderBy": {"id": "asc"}, "cursor": {"before": {"id": 4}}}, [2, 3]),
+        ({"orderBy": {"id": "asc"}, "cursor": {"before": {"id": 4}}, "include": {"posts": True}}, [2, 3]),
+        ({"orderBy": {"id": "desc"}, "cursor": {"before": {"id": 2}}}, [4, 3]),
+        ({"cursor": {"before": {"id": 4}}}, [2, 3]),
+        ({"cursor": {"after": {"id": 4}}}, [3, 2]),
+    ],
+)
+def test_cursor_frame_is_the_page(db, args, ids):
+    page = db.users.cursor(args, limit=2)
+    assert [r["id"] for r in page.df.collect()] == [r["id"] for r in page.value()["data"]] == ids
+
+
+def test_cursor_explains_what_it_reads(db):
+    """One row beyond the page tells whether there is a next one."""
+    assert db.users.cursor(orderBy={"id": "asc"}, limit=2).explain(analyze=True)["statements"]["data"]["rows"] == 3
+
+
 def test_json_paths(spark):
     import json
 
