@@ -228,7 +228,7 @@ def test_errors():
     assert is_foreign_key_violation(Exception("FOREIGN KEY constraint failed")) and is_check_violation(Exception("CHECK constraint failed"))
 
 
-@pytest.mark.parametrize("name", ["requireOrderByForCursor"])
+@pytest.mark.parametrize("name", ["requireOrderByForCursor", "requireStableOrderByForCursor"])
 def test_rule_rows_beyond_a_page(spark, monkeypatch, name):
     """More rows than the page of 1,000 takes: the query ends where its SQL does."""
     suppliers = spark.range(1100).selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey", "IF(id % 100 = 0, 1.0D, -1.0D) AS s_acctbal")
